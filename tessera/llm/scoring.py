@@ -1,0 +1,132 @@
+"""Language-model scores by cross-entropy difference.
+
+Two trigram models, one of the target documents and one of all documents, share
+one vocabulary of 64 byte classes and one smoothing: each order is interpolated
+with the next lower one with weight ``MU``, and the background's counts are
+scaled to the target's total, so that both models are smoothed alike. A
+document's score is the mean over its tokens of target loss less background loss
+(in nats); low means closer to the target.
+
+Counts come from every document; a task sums its own before the shuffle, and the
+table that reaches the driver has at most 64**3 rows, however large the input.
+
+Defined cases: null and empty texts have 0 tokens and null losses; repeated rows
+count as often as they stand there; without target documents both models are the
+uniform mixture of what the background has (the target's is uniform); an empty
+table gives an empty result. Columns beside doc_id and text aren't read.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import small_batches
+from tessera.llm.rawtext import text_bytes
+
+V = 64
+MU = 64.0
+START = V - 1
+PUNCTUATION = b".,;:'\"-()?"
+
+
+def _classes() -> np.ndarray:
+    """A class from 0 to V - 2 for each byte; V - 1 stands before a text."""
+    c = np.full(256, 48, np.int32)  # other ASCII
+    c[ord("a") : ord("z") + 1] = np.arange(26)
+    c[ord("A") : ord("Z") + 1] = np.arange(26)
+    c[ord("0") : ord("9") + 1] = 26 + np.arange(10)
+    c[0x20] = 36
+    c[0x09:0x0E] = 37
+    c[list(PUNCTUATION)] = 38 + np.arange(10)
+    c[0x80:0xC0] = 49 + np.arange(64) // 8
+    c[0xC0:0x100] = 57 + np.arange(64) // 16
+    return c
+
+
+CLASSES = _classes()
+
+
+def grams(col) -> tuple[np.ndarray, np.ndarray]:
+    """The trigram that ends at each token of all texts, and where each text begins."""
+    buf, off = text_bytes(col)
+    now = CLASSES[buf]
+    one = np.full(len(now), START, np.int32)
+    two = one.copy()
+    one[1:] = now[:-1]
+    begins = off[:-1][off[:-1] < off[1:]]
+    one[begins] = START
+    two[1:] = one[:-1]
+    two[begins] = START
+    return (two * V + one) * V + now, off
+
+
+def _count_batches(batches):
+    every, target = np.zeros(V**3, np.int64), np.zeros(V**3, np.int64)
+    for b in batches:
+        g, off = grams(b.column(0))
+        every += np.bincount(g, minlength=V**3)
+        is_target = np.repeat(np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool), np.diff(off))
+        target += np.bincount(g[is_target], minlength=V**3)
+    at = np.flatnonzero(every)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(every[at]), pa.array(target[at])], ["gram", "background", "target"])
+
+
+def gram_counts(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """gram, background and target counts. ``target_ids`` has doc_id, each once."""
+    small_batches(docs.sparkSession)
+    ids = target_ids.select(F.col("doc_id").alias("_id"))
+    df = docs.join(ids, docs["doc_id"] == ids["_id"], "left").select("text", F.col("_id").isNotNull().alias("in_target"))
+    rows = df.mapInArrow(_count_batches, "gram int, background long, target long")
+    return rows.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def losses(counts: np.ndarray) -> np.ndarray:
+    """-ln P of each trigram, from counts of all V**3."""
+    tri = counts.reshape(V, V, V).astype(float)
+    bi, uni = tri.sum(axis=0), tri.sum(axis=(0, 1))
+    p1 = (uni + 1) / (uni.sum() + V)
+    p2 = (bi + MU * p1) / (bi.sum(axis=1, keepdims=True) + MU)
+    p3 = (tri + MU * p2) / (tri.sum(axis=2, keepdims=True) + MU)
+    return -np.log(p3).ravel()
+
+
+def fit(docs: DataFrame, target_ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The losses of target and background model. What is collected has at most V**3 rows."""
+    table = gram_counts(docs, target_ids).toPandas()
+    every, target = np.zeros(V**3), np.zeros(V**3)
+    every[table["gram"].to_numpy()] = table["background"].to_numpy()
+    target[table["gram"].to_numpy()] = table["target"].to_numpy()
+    if target.sum():
+        every *= target.sum() / every.sum()
+    return losses(target), losses(every)
+
+
+def score(docs: DataFrame, models: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score for each row."""
+    small_batches(docs.sparkSession)
+    target, background = models
+
+    def run(batches):
+        for b in batches:
+            g, off = grams(b.column(1))
+            n = np.diff(off)
+            sums = [np.concatenate([[0.0], np.cumsum(m[g])]) for m in (target, background)]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                t, q = ((s[off[1:]] - s[off[:-1]]) / n for s in sums)
+            none = n == 0
+            cols = [pa.array(x, pa.float64(), mask=none) for x in (t, q, t - q)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), *cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
+def good_ids(labels: DataFrame) -> DataFrame:
+    """The target: documents labelled good and not toxic."""
+    return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
+
+
+def difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return score(docs, fit(docs, good_ids(labels)))
