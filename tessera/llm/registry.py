@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, licences, media, mixing, near, quality, scoring, urls, warc
+from tessera.llm import bpe, licences, media, mixing, near, quality, scoring, suffix, urls, warc
 from tessera.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removals(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
@@ -44,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_round_trip, op4_url_filter, op5_license_scan, op6_minhash_near_dedup, op7_bpe_round_trip, op8_media_columns, op9_lm_scoring, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_round_trip, op3_suffix_dedup, op4_url_filter, op5_license_scan, op6_minhash_near_dedup, op7_bpe_round_trip, op8_media_columns, op9_lm_scoring, op10_quality_rules)}
 
 _URL_VALUES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in urls.RULES)
 _CELLS = ", ".join(f"('{r}', {j}, {c!r})" for r, (_, cs) in quality.RULES.items() for j, c in enumerate(cs))
