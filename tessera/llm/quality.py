@@ -162,4 +162,6 @@ def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     cuts = shelve(cutoffs(feats, labels))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
     wide = docs.select(row, "doc_id", "lang", "text")
-    return judged(features(wide, ("_row", "doc_id", "lang")), cuts).filter("kept").select("_row.*")
+    # A column that keeps the condition above the features: below, it would repeat their expressions many times over.
+    feats = features(wide, ("_row", "doc_id", "lang")).withColumn("_here", F.monotonically_increasing_id())
+    return judged(feats, cuts).filter("kept AND _here >= 0").select("_row.*")
