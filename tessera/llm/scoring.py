@@ -77,7 +77,8 @@ def _count_batches(batches):
 def gram_counts(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """gram, background and target counts. ``target_ids`` has doc_id, each once."""
     small_batches(docs.sparkSession)
-    ids = target_ids.select(F.col("doc_id").alias("_id"))
+    # Always a merge join: the ids grow with the documents, so a broadcast would only serve small inputs.
+    ids = target_ids.select(F.col("doc_id").alias("_id")).hint("merge")
     df = docs.join(ids, docs["doc_id"] == ids["_id"], "left").select("text", F.col("_id").isNotNull().alias("in_target"))
     rows = df.mapInArrow(_count_batches, "gram int, background long, target long")
     return rows.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
