@@ -83,15 +83,15 @@ def pack(records: list[bytes]) -> bytes:
     return b"".join(out)
 
 
-def unpack(data: bytes):
-    """Each record's header fields and block."""
+def unpack(data: bytes, n_records: int | None = None):
+    """Each record's header fields and block. ``n_records``: how many there have to be, since a cut-off frame may leave no trace."""
     magic, n = struct.unpack_from("<II", data)
     if magic != DICT_MAGIC:
         raise ValueError("no dictionary frame")
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n]))
     with reader.stream_reader(io.BytesIO(data[8 + n :]), read_across_frames=True) as stream:
         whole = stream.read()
-    at = 0
+    at = found = 0
     while at < len(whole):
         end = whole.index(b"\r\n\r\n", at)
         lines = whole[at:end].decode().split("\r\n")
@@ -104,6 +104,9 @@ def unpack(data: bytes):
             raise ValueError("a record is cut off")
         yield fields, block
         at = end + 8 + size
+        found += 1
+    if n_records is not None and found != n_records:
+        raise ValueError(f"{found} records of {n_records}")
 
 
 def _write_batches(batches):
@@ -148,9 +151,9 @@ def archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def _read_batches(batches):
     for b in batches:
-        for data in b.column(0).to_pylist():
+        for data, n_records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             rows = []
-            for fields, block in unpack(data):
+            for fields, block in unpack(data, n_records):
                 n, digest = int(fields["X-Payload-Bytes"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 refers = None
                 if fields["WARC-Type"] == "response":
@@ -169,7 +172,7 @@ def read_index(table: DataFrame) -> DataFrame:
     """A row per record of the archives; payloads are checked against their digests."""
     small_batches(table.sparkSession, 200)
     schema = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return table.select("data").mapInArrow(_read_batches, schema)
+    return table.select("data", "n_records").mapInArrow(_read_batches, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
