@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from tessera.llm.common import SPACE, WORD, shelve, words
 
 MIN_WORDS = 50
-ALPHA = 0.01
+ALPHA = 0.02
 DELTA = 0.05
 SYMBOLS = "[#*$%&|<>]+"
 #: Each rule's ratio, and its cutoffs from the laxest to the strictest.
