@@ -240,7 +240,8 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     member = clusters.join(nodes.select(F.col("node").alias("_node"), "rep", "n"), F.col("node") == F.col("_node")).drop("_node")
     sizes = member.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks")).withColumnRenamed("root", "_root")
     member = shelve(member.join(sizes, F.col("root") == F.col("_root")).select("node", "root", "rep", "blocks"))
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text")
+    # Always a merge join: the members grow with the documents, so a broadcast would only serve small inputs.
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text").hint("merge")
     member = shelve(member.join(texts, member["rep"].eqNullSafe(texts["_doc"])).select("node", "root", "blocks", "text"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     member = member.withColumn("block", block).withColumn("part", F.lit(0)).withColumn("query", F.lit(True)).withColumn("label", F.col("node"))
@@ -283,6 +284,6 @@ def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns; rows that repeat stand once."""
     # One key for ids and null, so that the join's partitions serve the last step too.
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    kept = classes(docs, near).filter("kept").select(key.alias("_key"))
+    kept = classes(docs, near).filter("kept").select(key.alias("_key")).hint("merge")
     df = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
     return df.dropDuplicates(["_key", *docs.columns]).select(*docs.columns)
