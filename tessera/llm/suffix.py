@@ -45,7 +45,7 @@ LENGTH = 100
 GRAM = 24
 SPAN = LENGTH - GRAM + 1  # grams in a window, and most windows of an anchor
 BITS = 7
-HOT = 1000
+HOT = 4096
 SHARD_BYTES = 2 << 20
 FLUSH_ANCHORS = 1 << 20
 LAST = (1 << 63) - 1
@@ -242,20 +242,22 @@ def _runs(flag: np.ndarray, key: np.ndarray):
     return on[first], np.diff(np.append(first, len(on)))
 
 
-_FOUND = ["kind", "route", "k", "part", "lo", "n", "data"]
-FOUND_SCHEMA = "kind int, route long, k long, part int, lo long, n int, data binary"
+#: What hardly changes between rows comes first and together, which shuffles well compressed.
+_FOUND = ["kind", "part", "n", "k", "lo", "route", "two", "data"]
+FOUND_SCHEMA = "kind int, part int, n int, k long, lo long, route long, two long, data binary"
 
 
-def _found(kind, route, k, part, lo, n, data) -> pa.RecordBatch:
+def _found(kind, route, k, part, lo, n, data=None, two=None) -> pa.RecordBatch:
     m = len(lo)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(m, kind, np.int32)),
-            pa.array(np.asarray(route, np.int64)),
-            pa.array(np.asarray(k, np.int64)),
             pa.array(np.asarray(part, np.int32)),
-            pa.array(np.asarray(lo, np.int64)),
             pa.array(np.asarray(n, np.int32)),
+            pa.array(np.asarray(k, np.int64)),
+            pa.array(np.asarray(lo, np.int64)),
+            pa.array(np.asarray(route, np.int64)),
+            pa.array(np.asarray(two, np.int64)) if two is not None else pa.array(np.zeros(m, np.int64)),
             data if data is not None else pa.nulls(m, pa.binary()),
         ],
         _FOUND,
@@ -312,7 +314,7 @@ def shard(rows: list[tuple]):
     late = valid & (first < np.arange(size))
     run_at, run_n = _runs(late, owner)
     o = owner[run_at]
-    yield _found(REPEAT, mix64(run_at.view(U64) + k[o].view(U64)).view(np.int64), k[o], part[o], lo[o] + run_at - base[o], run_n, None)
+    yield _found(REPEAT, mix64(run_at.view(U64) + k[o].view(U64)).view(np.int64), k[o], part[o], lo[o] + run_at - base[o], run_n)
     # Windows that are the shard's first, per anchor from the first such to the last.
     early = np.flatnonzero(valid & ~late)
     if not len(early):
@@ -332,8 +334,7 @@ def shard(rows: list[tuple]):
         for i in range(0, len(at), 50_000):
             p = at[i : i + 50_000]
             c = owner[p]
-            data = pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer((np.arange(len(p) + 1) * 8).astype(np.int32)), pa.py_buffer(two[p].copy())])
-            yield _found(WINDOW, one[p], k[c], part[c], lo[c] + p - base[c], np.ones(len(p)), data)
+            yield _found(WINDOW, one[p], k[c], part[c], lo[c] + p - base[c], np.ones(len(p)), two=two[p])
 
 
 def _shard_batches(batches):
@@ -364,7 +365,7 @@ def _shard_batches(batches):
         yield from shard(held)
 
 
-def merge(route, k, part, lo, n, kind, data: pa.Array):
+def merge(route, k, part, lo, n, kind, second, data: pa.Array):
     """Repeats among the windows of several shards: k, part, lo of each, none of them the earliest of its kind."""
     out = []
     ctx = kind == CONTEXT
@@ -378,8 +379,7 @@ def merge(route, k, part, lo, n, kind, data: pa.Array):
         rep = np.repeat(np.flatnonzero(ctx), m)
         cols.append((one[at], two[at], k[rep], part[rep], lo[rep] + within))
     if (~ctx).any():
-        buf, _ = text_bytes(data.filter(pa.array(~ctx)))
-        cols.append((route[~ctx], np.frombuffer(buf.tobytes(), np.int64), k[~ctx], part[~ctx], lo[~ctx]))
+        cols.append((route[~ctx], second[~ctx], k[~ctx], part[~ctx], lo[~ctx]))
     one, two, k, part, lo = (np.concatenate(x) for x in zip(*cols))
     order = np.lexsort((lo, part, k, two, one))
     so, st = one[order], two[order]
@@ -407,7 +407,7 @@ def _merge_batches(batches):
 
     def flush(t: pa.Table):
         t = t.combine_chunks()
-        cols = [t.column(c).to_numpy() for c in ("route", "k", "part", "lo", "n", "kind")]
+        cols = [t.column(c).to_numpy() for c in ("route", "k", "part", "lo", "n", "kind", "two")]
         data = t.column("data").combine_chunks()
         if isinstance(data, pa.ChunkedArray):
             data = data.chunk(0) if data.num_chunks else pa.array([], pa.binary())
@@ -428,7 +428,7 @@ def _merge_batches(batches):
         b = b.filter(pa.array(~done))
         if not len(b):
             continue
-        route = b.column(1).to_numpy()
+        route = b.column(5).to_numpy()
         # All rows of a route go together: cut before this batch's last route.
         if held and size >= SHARD_BYTES:
             cut = int(np.searchsorted(route != last, True))
@@ -436,10 +436,10 @@ def _merge_batches(batches):
                 held.append(b.slice(0, cut))
                 yield flush(pa.Table.from_batches(held))
                 held, size = [], 0
-                b = b.slice(cut)
+                b, route = b.slice(cut), route[cut:]
         held.append(b)
-        size += b.column(6).nbytes + 40 * len(b)
-        last = int(b.column(1)[len(b) - 1].as_py())
+        size += b.column(7).nbytes + 40 * len(b)
+        last = int(route[-1])
     if held:
         yield flush(pa.Table.from_batches(held))
 
