@@ -9,7 +9,8 @@ the vocabulary and aggregates their bytes in order of position.
 
 A merge table row is a pair of tokens whose bytes together are a token, so the
 rows follow from the ranks alone, and the result is what contraction by ranks
-gives in any library. Pieces that a worker has encoded stay in a table of bounded
+gives in any library. Pieces of over LONG_PIECE bytes are contracted by a heap
+instead, in the same order. Pieces that a worker has encoded stay in a table of bounded
 size (``KNOWN_PIECES``), which is emptied when full.
 
 Defined cases: null and empty texts have no tokens (digests of nothing); very
@@ -23,6 +24,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import unicodedata
 
 import numpy as np
@@ -30,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import small_batches
-from tessera.llm.rawtext import span_hashes, text_bytes
+from tessera.llm.rawtext import U64, span_hashes, text_bytes
 
 KNOWN_PIECES = 1_000_000
 #: Bytes of pieces in one recursive query; it bounds what the recursion holds.
-QUERY_BYTES = 400_000
+QUERY_BYTES = 200_000
+#: Longer pieces are contracted by a heap: the recursion holds every step, which is quadratic in a piece.
+LONG_PIECE = 512
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Endings that the pattern keeps with an apostrophe before them.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -119,7 +123,7 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         self.db.execute("SET temp_directory = ''")
         as_pair = np.array(left, np.int64) << 32 | np.array(right, np.int64)
         merges = pa.table({"pair": as_pair, "rank": pa.array(merged, pa.int32())})  # noqa: F841
@@ -137,6 +141,11 @@ class Codec:
     def _contract(self, pieces: list[bytes]) -> list[np.ndarray]:
         out, batch, size = [], [], 0
         for p in pieces:
+            if len(p) > LONG_PIECE:
+                out += self._encode(batch) if batch else []
+                out.append(self._by_heap(p))
+                batch, size = [], 0
+                continue
             if batch and size + len(p) > QUERY_BYTES:
                 out += self._encode(batch)
                 batch, size = [], 0
@@ -155,6 +164,29 @@ class Codec:
         ids = np.asarray(got["token"])
         return [ids[i:j] for i, j in zip(cut[:-1], cut[1:])]
 
+    def _by_heap(self, piece: bytes) -> np.ndarray:
+        """The same contraction, leftmost pair of minimum rank first, for one long piece."""
+        n = len(piece)
+        end = list(range(1, n + 1))  # where the token that begins at a place ends; 0 where none begins
+        before = list(range(-1, n - 1))
+        rank = self.ranks.get
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, j = heapq.heappop(heap)
+            middle = end[i]
+            if not middle or middle >= n or end[middle] != j:
+                continue  # one of the two tokens is gone or has grown
+            end[i], end[middle] = j, 0
+            if j < n:
+                before[j] = i
+                if (r := rank(piece[i : end[j]])) is not None:
+                    heapq.heappush(heap, (r, i, end[j]))
+            if i and (r := rank(piece[before[i] : j])) is not None:
+                heapq.heappush(heap, (r, before[i], j))
+        starts = [i for i in range(n) if end[i]]
+        return np.array([self.ranks[piece[i : end[i]]] for i in starts], np.int32)
+
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
         """The bytes of each text, whose ids run from its ``off`` to the next."""
         n = np.diff(off)
@@ -194,34 +226,46 @@ SELECT text, string_agg(bytes, '' ORDER BY pos) AS s, count(*) AS n FROM rows JO
 
 
 class Encoder:
-    """Encodes whole Arrow columns; keeps what it knows between batches and partitions."""
+    """Encodes whole Arrow columns; keeps what it knows between batches and partitions, in flat arrays."""
 
     def __init__(self, path: str):
         self.codec = Codec(read_ranks(path))
         self.forget()
 
     def forget(self):
-        self.known: dict[int, int] = {}
-        self.strings: list[bytes] = []
-        self.ids: list[np.ndarray] = []
+        self.hashes = np.zeros(0, U64)  # ascending; ``place`` says which of the known pieces each is
+        self.place = np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)
+
+    def learn(self, hashes: np.ndarray, pieces: list[bytes]):
+        """New pieces, their hashes ascending."""
+        got = self.codec.encode(pieces)
+        if not got:
+            return
+        where = np.searchsorted(self.hashes, hashes)
+        n = len(self.ends) - 1
+        self.place = np.insert(self.place, where, np.arange(n, n + len(got), dtype=np.int32))
+        self.hashes = np.insert(self.hashes, where, hashes)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in got])])
+        self.ids = np.concatenate([self.ids, *got])
 
     def pieces(self, col) -> tuple[np.ndarray, np.ndarray]:
         """The known number of each piece, and where each text's begin (one more at the end)."""
         buf, off = text_bytes(col)
         starts = piece_starts(buf, off)
         ends = np.append(starts[1:], len(buf))[: len(starts)]
-        h, at, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        keys = h.tolist()
-        if len(self.known) + len(keys) > KNOWN_PIECES and self.known:
+        keys, at, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(keys) > KNOWN_PIECES:
             self.forget()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+        spot = np.searchsorted(self.hashes, keys)
+        new = np.ones(len(keys), bool)
+        inside = spot < len(self.hashes)
+        new[inside] = self.hashes[spot[inside]] != keys[inside]
         data = buf.tobytes()
-        for i, ids in zip(new, self.codec.encode([data[starts[at[i]] : ends[at[i]]] for i in new])):
-            self.known[keys[i]] = len(self.ids)
-            self.ids.append(ids)
-            self.strings.append(",".join(map(str, ids.tolist())).encode())
-        number = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
-        return number[back] if len(keys) else np.zeros(0, np.int64), np.searchsorted(starts, off)
+        self.learn(keys[new], [data[i:j] for i, j in zip(starts[at[new]], ends[at[new]])])
+        number = self.place[np.searchsorted(self.hashes, keys)] if len(keys) else np.zeros(0, np.int32)
+        return number[back], np.searchsorted(starts, off)
 
 
 @functools.lru_cache(maxsize=1)
@@ -234,16 +278,13 @@ def encode_column(col, path: str):
     e = encoder(path)
     number, cut = e.pieces(col)
     used, back = np.unique(number, return_inverse=True)
-    parts = [e.ids[i] for i in used.tolist()]
-    n = np.array([len(p) for p in parts], np.int64)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    base = np.cumsum(n) - n
-    each = n[back] if len(back) else np.zeros(0, np.int64)
+    begin, n = e.ends[used], np.diff(e.ends)[used]
+    each = n[back]
     total = np.concatenate([[0], np.cumsum(each)])
-    within = np.arange(int(total[-1])) - np.repeat(total[:-1], each)
-    ids = flat[np.repeat(base[back], each) + within] if len(back) else flat
-    names = number.tolist()
-    joined = [b",".join([e.strings[k] for k in names[i:j]]) for i, j in zip(cut[:-1], cut[1:])]
+    ids = e.ids[np.repeat(begin[back] - total[:-1], each) + np.arange(int(total[-1]))]
+    names = [",".join(map(str, e.ids[i : i + k].tolist())).encode() for i, k in zip(begin.tolist(), n.tolist())]
+    order = back.tolist()
+    joined = [b",".join([names[k] for k in order[i:j]]) for i, j in zip(cut[:-1], cut[1:])]
     return ids, total[cut], joined
 
 
