@@ -157,11 +157,11 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns. No text is shuffled."""
-    feats = shelve(features(docs))
-    cuts = shelve(cutoffs(feats, labels))
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    The rows are written once beside their features, which cost far more than that
+    to make again; no text is shuffled, and the cutoffs read only the features.
+    """
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    wide = docs.select(row, "doc_id", "lang", "text")
-    # A column that keeps the condition above the features: below, it would repeat their expressions many times over.
-    feats = features(wide, ("_row", "doc_id", "lang")).withColumn("_here", F.monotonically_increasing_id())
-    return judged(feats, cuts).filter("kept AND _here >= 0").select("_row.*")
+    feats = shelve(features(docs.select(row, "doc_id", "lang", "text"), ("_row", "doc_id", "lang")))
+    return judged(feats, shelve(cutoffs(feats, labels))).filter("kept").select("_row.*")
