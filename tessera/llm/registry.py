@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, licences, media, mixing, near, quality, scoring, suffix, urls, warc
+from tessera.llm import bpe, licences, media, mixing, near, quality, suffix, urls, warc, wordscores
 from tessera.llm.common import table
 
 
@@ -41,7 +41,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return wordscores.difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

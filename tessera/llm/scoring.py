@@ -1,4 +1,6 @@
-"""Language-model scores by cross-entropy difference.
+"""Language-model scores by cross-entropy difference, with small models of fixed size.
+
+``op9_lm_scoring`` uses ``wordscores``, whose tables grow with the corpus.
 
 Two trigram models, one of the target documents and one of all documents, share
 one vocabulary of 64 byte classes and one smoothing: each order is interpolated

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import bpe, common, graph, licences, media, mixing, near, quality, registry, scoring, suffix, urls, warc
+from tessera.llm import bpe, common, graph, licences, media, mixing, near, quality, registry, scoring, suffix, urls, warc, wordscores
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -405,6 +405,50 @@ def test_scores_against_brute_force(docs, rows, some_labels):
     assert sorted(((r["doc_id"], r["n_tokens"], None if r["score"] is None else round(r["score"], 6)) for r in got), key=repr) == want
 
 
+def words_of(t):
+    return re.findall(r"[\U00003000-\U0000DFFF\U00010000-\U0010FFFF]|[0-9A-Za-z\x80-\u2FFF\uE000-\uFFFF]+|[^\x20\x09-\x0D]", t or "")
+
+
+@pytest.mark.parametrize("chunk", [1, wordscores.CHUNK])
+def test_word_scores_against_brute_force(docs, rows, some_labels, chunk, monkeypatch):
+    monkeypatch.setattr(wordscores, "CHUNK", chunk)
+    ids = {r["doc_id"] for r in scoring.good_ids(some_labels).collect()}
+    count = {False: Counter(), True: Counter()}
+    grams = []
+    for d, t, *_ in rows:
+        w = [None, *words_of(t)]
+        grams.append(list(zip(w, w[1:])))
+        for kind in {False, d in ids}:
+            count[kind].update(grams[-1])
+    v = len({w for g in grams for _, w in g})
+
+    def losses(c, scale):
+        one, context = Counter(), Counter()
+        for (a, b), n in c.items():
+            one[b] += n * scale
+            context[a] += n * scale
+        total, mu = sum(one.values()), scoring.MU
+        return lambda g: -np.log((c[g] * scale + mu * (one[g[1]] + 1) / (total + v)) / (context[g[0]] + mu))
+
+    target, back = losses(count[True], 1), losses(count[False], sum(count[True].values()) / sum(count[False].values()))
+    want = sorted(((d, len(g), *([None] * 2 if not g else [round(float(np.mean([f(x) for x in g])), 6) for f in (target, back)])) for (d, *_), g in zip(rows, grams)), key=repr)
+    got = wordscores.difference(docs, some_labels).collect()
+    assert sorted(((r[0], r[1], *(None if x is None else round(x, 6) for x in r[2:4])) for r in got), key=repr) == want
+
+
+def test_op9_tells_all_words_apart(spark, tmp_path):
+    texts = ["привет мир", "привет мир", "примет мир", "$ $", "$ $", "# #", "Word", "Word", "word", "日本", "日本", "日木", None, " "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in (0, 3, 6, 9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in registry.QUERIES["op9_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert all(got[i]["score"] < got[i + 2]["score"] and got[i]["score"] == got[i + 1]["score"] for i in (0, 3, 6, 9))
+    assert [got[i]["n_tokens"] for i in (0, 3, 6, 9, 12, 13)] == [2, 2, 1, 2, 0, 0] and got[12]["score"] is None
+
+
+def test_word_scores_of_no_rows(no_docs, some_labels):
+    assert wordscores.difference(no_docs, some_labels).isEmpty()
+
+
 # 10
 
 
