@@ -2,19 +2,21 @@
 
 One pass turns each text into the places of the words that occur in some licence
 template (all other words only count). From these postings come the document
-frequencies of the template words, hence their IDF. Then, per file, the
-``RAREST`` highest-IDF template words that it has are looked up in the templates'
-postings; each (file place - template place) is a candidate alignment. Alignments
-are weighed by the IDF of all template words that stand at their relative place;
-one is accepted when the weight is at least ``SHARE`` of the template's and the
-template's key phrases stand there word for word.
+frequencies of the template words, hence their IDF. Then, per file and template
+whose key phrases it has, the template's highest-IDF words are looked up in the file:
+as many as weigh more than 1 - ``SHARE`` of the template, so that no alignment can be
+accepted without one of them, whatever else the file holds. Each (file place -
+template place) is a candidate alignment. Alignments are weighed by the IDF of all
+template words that stand at their relative place; one is accepted when the weight is
+at least ``SHARE`` of the template's and the template's key phrases stand there word
+for word.
 
 Base phrases are found at every place where their words stand consecutively.
 ``score`` is the largest share of any accepted alignment, 1 where a base phrase
 stands, else 0.
 
 Defined cases: null and empty texts have no words, null first and last word, no
-labels and score 0; ties of IDF go to the word that sorts first; repeated rows
+labels and score 0; repeated rows
 are scanned each by itself; an empty table gives an empty result. Columns beside
 doc_id and text aren't read.
 """
@@ -48,7 +50,6 @@ TEMPLATES = (
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",)),
     ("reserved", "copyright all rights reserved", ("all rights reserved",)),
 )
-RAREST = 8
 SHARE = 0.75
 SHIFT = 16
 
@@ -105,10 +106,20 @@ class Index:
         as_ids = lambda text: [ids[w] for w in text.split()]
         self.base = [(as_ids(p), label) for p, label in base]
         self.templates = [(label, as_ids(text), [as_ids(k) for k in keys]) for label, text, keys in templates]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, words, _) in enumerate(self.templates):
-            for i, w in enumerate(words):
-                self.postings.setdefault(w, []).append((t, i))
+        self.seeds = [self.rarest(words) for _, words, _ in self.templates]
+        self.key_words = [np.unique(np.concatenate(keys)) for _, _, keys in self.templates]
+
+    def rarest(self, template: list[int]) -> list[tuple[int, int]]:
+        """Word and place of the template's rarest words: an alignment without any of them weighs less than SHARE."""
+        out, rest = [], self.weight[template].sum()
+        enough = (SHARE - 1e-9) * rest
+        for w in sorted(set(template), key=lambda w: (-self.weight[w], w)):
+            if rest < enough:
+                break
+            places = [(w, i) for i, x in enumerate(template) if x == w]
+            out += places
+            rest -= self.weight[w] * len(places)
+        return out
 
     @staticmethod
     def phrase(places: np.ndarray, words: np.ndarray, phrase: list[int]) -> np.ndarray:
@@ -135,20 +146,18 @@ class Index:
                 last = int(found[-1]) if last is None else max(last, int(found[-1]))
                 score = 1.0
         labels = set(base_labels)
-        present = np.unique(words)
-        rare = sorted(present.tolist(), key=lambda w: (-self.weight[w], w))[:RAREST]
-        seeds: dict[int, set[int]] = {}
-        for w in rare:
-            at = places[words == w]
-            for t, i in self.postings.get(w, ()):
-                seeds.setdefault(t, set()).update((at - i).tolist())
-        for t, shifts in seeds.items():
-            label, template, keys = self.templates[t]
+        present = np.zeros(len(self.weight), bool)
+        present[words] = True
+        for t, (label, template, keys) in enumerate(self.templates):
+            if not present[self.key_words[t]].all():
+                continue
             # A key phrase must stand in the text at all, before alignments are weighed.
             found = [self.phrase(places, words, k) for k in keys]
             if not all(map(len, found)):
                 continue
-            starts = np.fromiter(shifts, np.int64, len(shifts))
+            starts = np.unique(np.concatenate([places[words == w] - i for w, i in self.seeds[t]]))
+            if not len(starts):
+                continue
             got = np.zeros(len(starts))
             for i, w in enumerate(template):
                 at = np.searchsorted(places, starts + i)

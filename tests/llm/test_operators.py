@@ -210,6 +210,41 @@ def test_licence_templates(spark):
     assert [got[i] for i in range(len(texts))] == list(texts)
 
 
+def test_licences_of_files_with_many_notices(spark):
+    """Each notice counts, whatever else the file holds."""
+    own = {0: "apache-2.0", 1: "mit", 2: "mit", 3: "bsd", 4: "gpl,gpl-3.0", 6: "lgpl", 8: "cc-by,cc-by-nc", 11: "reserved"}
+    files = [[8, 11, 0, 4], [0, 8, 11, 3, 2, 6, 1, 4], list(range(len(licences.TEMPLATES)))]
+    df = spark.createDataFrame([(i, " x ".join(licences.TEMPLATES[t][1] for t in f)) for i, f in enumerate(files)], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licences.scan(df).collect()}
+    want = [{x for t in f for x in own[t].split(",")} for f in files[:2]]
+    assert [got[0], got[1]] == [want[0], want[1] | {"gpl"}]
+    assert got[2] == {x for x, _, _ in licences.TEMPLATES} | {x for _, x in licences.BASE}
+
+
+def test_licence_alignments_against_all_places():
+    """Labels and scores are those of weighing every place of the file."""
+    rng = np.random.default_rng(5)
+    vocab = licences.vocabulary()
+    for _ in range(150):
+        index = licences.Index({i: float(x) for i, x in enumerate(rng.gamma(0.5, 3, len(vocab)))})
+        words = []
+        for t in rng.integers(0, len(index.templates), 12):
+            words += [w if rng.random() < 0.93 else int(rng.integers(0, len(vocab))) for w in index.templates[t][1]]
+        at, ids = np.arange(len(words)), np.array(words)
+        labels, score = set(), 0.0
+        for phrase, label in index.base:
+            if len(index.phrase(at, ids, phrase)):
+                labels, score = labels | {label}, 1.0
+        for label, template, keys in index.templates:
+            for start in range(-len(template), len(words)):
+                if all(any(start <= p < start + len(template) for p in index.phrase(at, ids, k)) for k in keys):
+                    got = sum(index.weight[w] for i, w in enumerate(template) if 0 <= start + i < len(words) and words[start + i] == w) / index.weight[template].sum()
+                    if abs(got - licences.SHARE) > 1e-9 and got > licences.SHARE:
+                        labels, score = labels | {label}, max(score, min(1.0, got))
+        *_, found, best = index.scan((at << licences.SHIFT) | ids)
+        assert found == ",".join(sorted(labels)) and abs(best - score) < 1e-9
+
+
 # 6
 
 
