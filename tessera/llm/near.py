@@ -19,9 +19,10 @@ all its blocks. Every candidate pair of different components is verified.
 Defined cases: null and empty texts and those of white space alone have no
 shingles, link with nothing and are kept; rows with the same doc_id and text are
 one document (all kept or all not), rows with one id but different texts are
-judged by their texts, but ``one_of_each`` keeps all rows of an id (or of null) if
-one is kept; a null id is larger than any other; an empty table gives
-an empty result. Columns beside doc_id and text aren't read.
+judged by their texts; a null id is larger than any other. ``one_of_each`` keeps one
+row of each group, also where ids repeat or are null: of the rows of its least id the
+one of the least set digest, then of the least text. An empty table gives an empty
+result. Columns beside doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tessera.llm.common import shelve, small_batches
@@ -225,8 +227,8 @@ def _links(members: DataFrame, near: Near) -> DataFrame:
     return df.mapInArrow(_resolver(near), "u long, v long")
 
 
-def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
+def _classed(docs: DataFrame, near: Near) -> DataFrame:
+    """doc_id, n_shingles, component_id, node and class (null without shingles) for each row of ``docs``."""
     sig = shelve(signed(docs, near))
     some = sig.filter("n_shingles > 0")
     # One row per set, with the document that stands for it.
@@ -275,15 +277,39 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     tied = shelve(tied)
     placed = some.select("doc_id", "n_shingles", "node").join(tied, F.col("node") == F.col("_n"), "left").withColumn("class", F.coalesce("class", "node")).drop("_n")
     least = nodes.select("node", "rep").join(tied, F.col("node") == F.col("_n"), "left").groupBy(F.coalesce("class", "node").alias("_class")).agg(F.min("rep").alias("component_id"))
-    df = placed.join(least, F.col("class") == F.col("_class")).select("doc_id", "n_shingles", "component_id")
-    df = df.unionByName(sig.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    df = placed.join(least, F.col("class") == F.col("_class")).select("doc_id", "n_shingles", "component_id", "node", "class")
+    return df.unionByName(sig.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", F.lit(None).cast("long").alias("class")))
+
+
+def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
+    df = _classed(docs, near).select("doc_id", "n_shingles", "component_id")
     return df.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def with_sets(docs: DataFrame, near: Near) -> DataFrame:
+    """``docs`` with the digest of each row's set in ``_set``."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            digests = pa.array([set_digest(s) for s in shingle_sets(b.column(at), near.shingle)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, digests], [*b.schema.names, "_set"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", LongType())]))
+
+
 def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns; rows that repeat stand once."""
+    """One row of each group, with its own columns; rows without shingles that repeat stand once."""
     # One key for ids and null, so that the join's partitions serve the last step too.
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    kept = classes(docs, near).filter("kept").select(key.alias("_key")).hint("merge")
-    df = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
-    return df.dropDuplicates(["_key", *docs.columns]).select(*docs.columns)
+    key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63))).alias("_key")
+    rows = shelve(_classed(docs, near))
+    chosen = rows.filter("class IS NOT NULL AND doc_id <=> component_id").groupBy("class").agg(F.min("component_id").alias("id"), F.min("node").alias("_set")).select(key("id"), "_set")
+    empty = rows.filter("class IS NULL").select(key("doc_id"), F.col("node").alias("_set")).distinct()
+    kept = chosen.unionByName(empty).hint("merge")
+    df = with_sets(docs, near).withColumn("_key", key("doc_id")).join(kept, ["_key", "_set"], "left_semi")
+    row = F.struct(*docs.columns)
+    none = set_digest(np.zeros(0, U64))
+    df = df.groupBy("_key", "_set", F.when(F.col("_set") == none, row).alias("_own")).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("_row"))
+    return df.select("_row.*")

@@ -305,6 +305,14 @@ def test_one_of_each(odd_docs):
     assert ids[6] == 1 and ids[7] == 0 and ids[8] == 1 and ids[16] == 1 and ids[1] == 1 and ids[17] == 2
 
 
+def test_one_of_each_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(None, a), (None, a + " end"), (None, a.upper()), (None, b), (1, b + " end"), (1, c), (2, c + " end"), (3, c), (3, "three"), (None, ""), (None, None), (None, None)]
+    out = near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], (r["text"] or "-")[0].lower()) for r in out)
+    assert got == {(None, "a"): 1, (1, "b"): 1, (1, "c"): 1, (3, "t"): 1, (None, "-"): 2}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 45), (7, 7)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
