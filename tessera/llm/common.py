@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,8 +16,8 @@ WORD = r"[^\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in an Arrow batch; whole texts travel in them, so it is kept small.
-ARROW_ROWS = 1000
+#: Most rows and bytes in an Arrow batch: whole texts travel in them, and a batch of very long texts must fit a worker.
+ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,31 +39,59 @@ def n_words(text: Column) -> Column:
 
 
 def shelf_root(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share. Only a session of one machine may go without one: it gets a local folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or "file://" + os.path.join(tempfile.gettempdir(), "tessera-shelf")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shelf")
     return root.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def shelve(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     This cuts the lineage without tying the data to an executor, keeps columns
-    prunable and gives the planner a true size. The files go when the driver ends.
+    prunable and gives the planner a true size. The files go when the driver ends,
+    or earlier by ``unshelve``.
     """
     spark = df.sparkSession
     path = f"{shelf_root(spark)}/shelf-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the rows of an Arrow batch for operators that ship whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shelf = path
+    return out
+
+
+def unshelve(*tables: DataFrame) -> None:
+    """Deletes what ``shelve`` has written, once all that reads it is written itself."""
+    for df in tables:
+        files, at = _file_system(df.sparkSession, df._shelf)
+        files.delete(at, True)
+        files.cancelDeleteOnExit(at)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes of an Arrow batch for operators that ship whole texts.
+
+    All operators set the same bounds, and only lower them, so the cost of one
+    doesn't depend on which ran before. The settings are read when a query starts,
+    after the caller has its DataFrame, so they stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = _bytes(spark.conf.get(key))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(setting: str) -> int:
+    """A size as Spark writes it, such as 64MB; -1 where there is none."""
+    found = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)(i?b)?", setting.strip().lower())
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else -1

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shelve, small_batches
-from tessera.llm.rawtext import ALNUM, BYTE_VALUES, LOWER, span_hashes, text_bytes, word_spans
+from tessera.llm.rawtext import ALNUM, LOWER, span_hashes, text_bytes, word_spans
 
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -68,11 +68,10 @@ def _posting_batches(batches):
     vocab = _word_hash(vocabulary())
     order = np.argsort(vocab)
     ordered = vocab[order]
-    values = BYTE_VALUES[LOWER]  # lower-cases A-Z as it hashes
     for b in batches:
         buf, off = text_bytes(b.column(1))
         starts, ends, first = word_spans(buf, off, ALNUM)
-        h = span_hashes(buf, starts, ends, values)
+        h = span_hashes(buf, starts, ends, LOWER)
         at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
         hit = np.flatnonzero(ordered[at] == h) if len(h) else np.zeros(0, np.int64)
         text = np.searchsorted(first, hit, side="right") - 1

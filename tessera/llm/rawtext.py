@@ -65,18 +65,36 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """A 64-bit hash of each span; spans are in order and don't overlap."""
+#: A random value for each byte at each of so many places of a span; stretches of so many bytes are then weighed.
+PLACES = 64
+PLACE_VALUES = _rng.integers(0, 2**64, (PLACES, 256), dtype=np.uint64)
+
+
+def weights(n: int) -> np.ndarray:
+    """Odd numbers without a pattern, one per stretch of ``PLACES`` bytes; the first is 1."""
+    out = mix64(np.arange(n, dtype=U64) * BASE) | U64(1)
+    out[:1] = 1
+    return out
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span; spans are in order and don't overlap. ``fold`` maps bytes first.
+
+    Each byte adds a random value of its own for its place, so unlike a polynomial
+    modulo 2**64 the hash has no texts that collide by their structure.
+    """
     if not len(starts):
         return np.zeros(0, U64)
     n = ends - starts
-    value = table[buf]
-    if int(n.sum()) == len(buf):
-        place = np.arange(len(buf)) - np.repeat(starts, n)
-        sums = np.add.reduceat(value * powers(int(n.max()))[place], starts)
-    else:
-        first = np.cumsum(n) - n
-        place = np.arange(int(n.sum())) - np.repeat(first, n)
-        at = np.repeat(starts, n) + place
-        sums = np.add.reduceat(value[at] * powers(int(n.max()))[place], first)
+    first = np.cumsum(n) - n
+    whole = int(n.sum()) == len(buf)
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    text = buf if whole else buf[np.repeat(starts, n) + place]
+    if fold is not None:
+        text = fold[text]
+    value = PLACE_VALUES.ravel()[((place & (PLACES - 1)) << 8) | text]
+    longest = int(n.max())
+    if longest > PLACES:
+        value *= weights(-(-longest // PLACES))[place >> 6]
+    sums = np.add.reduceat(value, first)
     return mix64(sums + n.astype(U64))

@@ -138,7 +138,7 @@ def archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     occur twice or more. A payload that a third of all pages share is a skewed
     join on one row, which the adaptive planner splits or broadcasts.
     """
-    small_batches(pages.sparkSession, 200)
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     keys = pages.select("page_id", F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("n"))
     shared = keys.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
@@ -170,7 +170,7 @@ def _read_batches(batches):
 
 def read_index(table: DataFrame) -> DataFrame:
     """A row per record of the archives; payloads are checked against their digests."""
-    small_batches(table.sparkSession, 200)
+    small_batches(table.sparkSession)
     schema = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return table.select("data", "n_records").mapInArrow(_read_batches, schema)
 
