@@ -9,13 +9,25 @@ the vocabulary and aggregates their bytes in order of position.
 
 A merge table row is a pair of tokens whose bytes together are a token, so the
 rows follow from the ranks alone, and the result is what contraction by ranks
-gives in any library. Pieces of over LONG_PIECE bytes are contracted by a heap
-instead, in the same order. Pieces that a worker has encoded stay in a table of bounded
-size (``KNOWN_PIECES``), which is emptied when full.
+gives in any library. A recursion holds all its steps, which is quadratic in a
+piece, so a query takes pieces whose steps are at most ``STATE_ROWS`` rows, and goes on
+from its last step where one piece alone has more.
+
+Pieces of over ``STRETCH`` characters are contracted by the same queries in stretches
+that are then joined: tokens on both sides of a seam are contracted anew, and the
+result holds once it begins and ends with the tokens that it had; until then the window
+doubles. That is exact: a sequence of tokens is what contraction gives for its bytes
+if, and only if, this is so for each two neighbours, since the first contraction across
+a border would be one between those two alone as well. Every pair of neighbours of the
+result stands in one contraction's result.
+
+Pieces that a worker has encoded stay in a table of bounded size (``KNOWN_PIECES``),
+which is emptied when full. They are found by a hash, and their bytes are compared.
 
 Defined cases: null and empty texts have no tokens (digests of nothing); very
-long texts and pieces are encoded whole; repeated rows get equal rows; an unknown
-id raises ``KeyError``; empty tables give empty results. The vocabulary's path is
+long texts and pieces are encoded whole; of equal ranks in a piece the leftmost goes
+first; repeated rows get equal rows, rows with a null id theirs; an unknown token id
+raises ``KeyError``; empty tables give empty results. The vocabulary's path is
 a parameter. Columns beside doc_id and text aren't read.
 """
 
@@ -24,7 +36,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import unicodedata
 
 import numpy as np
@@ -35,10 +46,12 @@ from tessera.llm.common import small_batches
 from tessera.llm.rawtext import U64, span_hashes, text_bytes
 
 KNOWN_PIECES = 1_000_000
-#: Bytes of pieces in one recursive query; it bounds what the recursion holds.
-QUERY_BYTES = 200_000
-#: Longer pieces are contracted by a heap: the recursion holds every step, which is quadratic in a piece.
-LONG_PIECE = 512
+#: Rows of all steps of one recursive query.
+STATE_ROWS = 800_000
+#: Characters of a stretch (a power of two, so that runs of one sign are cut where their tokens end), and tokens on each side of a seam.
+STRETCH, SEAM = 16, 4
+#: From so many bytes on, a step contracts all places of a rank.
+MANY = 64
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Endings that the pattern keeps with an apostrophe before them.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -107,6 +120,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _stretches(piece: bytes) -> list[bytes]:
+    """The piece cut before every STRETCH-th character (bytes that continue one stay with it)."""
+    buf = np.frombuffer(piece, np.uint8)
+    heads = np.flatnonzero((buf & 0xC0) != 0x80)[STRETCH::STRETCH]
+    cuts = [0, *heads.tolist(), len(piece)]
+    return [piece[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+
+
 class Codec:
     """A DuckDB connection with the merge table and the vocabulary."""
 
@@ -114,6 +135,7 @@ class Codec:
         import duckdb
 
         self.ranks = ranks
+        self.names = {rank: token for token, rank in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         left, right, merged = [], [], []
         for token, rank in ranks.items():
@@ -123,6 +145,9 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
+        # Tokens that a token ranked before them may swallow: their places can't go all at once.
+        alone = {t for pair in zip(left, right, merged) for t in pair[:2] if t > pair[2]}
+        merged = [2 * m + (m in alone) for m in merged]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         self.db.execute("SET temp_directory = ''")
         as_pair = np.array(left, np.int64) << 32 | np.array(right, np.int64)
@@ -139,53 +164,69 @@ class Codec:
         return [next(merged) if r is None else np.array([r], np.int32) for r in found]
 
     def _contract(self, pieces: list[bytes]) -> list[np.ndarray]:
-        out, batch, size = [], [], 0
-        for p in pieces:
-            if len(p) > LONG_PIECE:
-                out += self._encode(batch) if batch else []
-                out.append(self._by_heap(p))
-                batch, size = [], 0
-                continue
-            if batch and size + len(p) > QUERY_BYTES:
-                out += self._encode(batch)
-                batch, size = [], 0
-            batch.append(p)
-            size += len(p)
-        return out + (self._encode(batch) if batch else [])
-
-    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        n = np.array([len(p) for p in pieces])
-        buf = np.frombuffer(b"".join(pieces), np.uint8)
+        """What contraction gives for each piece."""
+        cuts = [_stretches(p) if len(p) > STRETCH else [p] for p in pieces]
+        flat = self._recurse([x for c in cuts for x in c])
+        out, at = [], 0
+        for c in cuts:
+            out.append(flat[at : at + len(c)])
+            at += len(c)
+        # Neighbouring stretches are joined two by two, those of all pieces together.
+        while any(len(x) > 1 for x in out):
+            joined = iter(self._join([(x[i], x[i + 1]) for x in out for i in range(0, len(x) - 1, 2)]))
+            out = [[*(next(joined) for _ in range(len(x) // 2)), *(x[-1:] if len(x) % 2 else [])] for x in out]
+        return [x[0] for x in out]
+
+    def _join(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The contraction of the bytes of two contracted strings, for each pair of such."""
+        out: list = [None] * len(pairs)
+        todo, n = range(len(pairs)), SEAM
+        while todo:
+            windows = self._recurse([b"".join(self.names[t] for t in (*pairs[i][0][-n:], *pairs[i][1][:n])) for i in todo])
+            left = []
+            for i, w in zip(todo, windows):
+                a, b = pairs[i]
+                if (n >= len(a) or w[0] == a[-n]) and (n >= len(b) or w[-1] == b[n - 1]):
+                    out[i] = np.concatenate([a[:-n], w, b[n:]])
+                else:
+                    left.append(i)
+            todo, n = left, 2 * n
+        return out
+
+    def _recurse(self, strings: list[bytes]) -> list[np.ndarray]:
+        """Queries of bounded state over the strings, shorter ones first, so that those of a query end together."""
+        out: list = [None] * len(strings)
+        order = sorted(range(len(strings)), key=lambda i: len(strings[i]))
+        i = 0
+        while i < len(order):
+            j, state = i, 0
+            while j < len(order) and (j == i or state < STATE_ROWS):
+                state += len(strings[order[j]]) ** 2 // 2 + 1
+                j += 1
+            for k, ids in zip(order[i:j], self._query([strings[k] for k in order[i:j]])):
+                out[k] = ids
+            i = j
+        return out
+
+    def _query(self, strings: list[bytes]) -> list[np.ndarray]:
+        """As many steps in a query as its state allows, until there are no more."""
+        n = np.array([len(p) for p in strings])
+        ids = self.byte_ids[np.frombuffer(b"".join(strings), np.uint8)]
+        sql = ENCODE_ALL if int(n.max()) > MANY else ENCODE
+        while True:
+            longest, steps = int(n.max()), max(2, 2 * STATE_ROWS // len(ids))
+            cut, new = self._steps(n, ids, sql, steps)
+            if longest <= steps or len(new) == len(ids):
+                return [new[x:y] for x, y in zip(cut[:-1], cut[1:])]
+            n, ids = np.diff(cut), new
+
+    def _steps(self, n: np.ndarray, ids: np.ndarray, sql: str, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokens of each string begin (one more at the end), and the tokens, after so many steps at most."""
         rows = pa.table(  # noqa: F841
-            {"piece": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "token": self.byte_ids[buf]}
+            {"piece": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "token": np.asarray(ids, np.int32)}
         )
-        got = self.db.execute(ENCODE).fetchnumpy()
-        cut = np.searchsorted(np.asarray(got["piece"]), np.arange(len(n) + 1))
-        ids = np.asarray(got["token"])
-        return [ids[i:j] for i, j in zip(cut[:-1], cut[1:])]
-
-    def _by_heap(self, piece: bytes) -> np.ndarray:
-        """The same contraction, leftmost pair of minimum rank first, for one long piece."""
-        n = len(piece)
-        end = list(range(1, n + 1))  # where the token that begins at a place ends; 0 where none begins
-        before = list(range(-1, n - 1))
-        rank = self.ranks.get
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, j = heapq.heappop(heap)
-            middle = end[i]
-            if not middle or middle >= n or end[middle] != j:
-                continue  # one of the two tokens is gone or has grown
-            end[i], end[middle] = j, 0
-            if j < n:
-                before[j] = i
-                if (r := rank(piece[i : end[j]])) is not None:
-                    heapq.heappush(heap, (r, i, end[j]))
-            if i and (r := rank(piece[before[i] : j])) is not None:
-                heapq.heappush(heap, (r, before[i], j))
-        starts = [i for i in range(n) if end[i]]
-        return np.array([self.ranks[piece[i : end[i]]] for i in starts], np.int32)
+        got = self.db.execute(sql, [steps]).fetchnumpy()
+        return np.searchsorted(np.asarray(got["piece"]), np.arange(len(n) + 1)), np.asarray(got["token"])
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
         """The bytes of each text, whose ids run from its ``off`` to the next."""
@@ -202,16 +243,17 @@ class Codec:
         return out
 
 
+#: A step contracts each piece's leftmost pair of least rank.
 ENCODE = """
 WITH RECURSIVE state(step, piece, pos, token) AS (
   SELECT 0, piece, pos, token FROM rows
   UNION ALL
-  SELECT step + 1, piece, pos, CASE WHEN this = best THEN CAST(best >> 32 AS INTEGER) ELSE token END
+  SELECT step + 1, piece, pos, CASE WHEN this = best THEN CAST(best >> 33 AS INTEGER) ELSE token END
   FROM (
     SELECT *, lag(this) OVER (PARTITION BY piece ORDER BY pos) AS before, min(this) OVER (PARTITION BY piece) AS best
     FROM (
       SELECT pairs.step, pairs.piece, pairs.pos, pairs.token, (CAST(merges.rank AS BIGINT) << 32) + pairs.pos AS this
-      FROM (SELECT *, (CAST(token AS BIGINT) << 32) + lead(token) OVER (PARTITION BY piece ORDER BY pos) AS pair FROM state) AS pairs
+      FROM (SELECT *, (CAST(token AS BIGINT) << 32) + lead(token) OVER (PARTITION BY piece ORDER BY pos) AS pair FROM state WHERE step < $1) AS pairs
       LEFT JOIN merges ON merges.pair = pairs.pair
     )
   )
@@ -220,6 +262,36 @@ WITH RECURSIVE state(step, piece, pos, token) AS (
 SELECT piece, token FROM (SELECT *, max(step) OVER (PARTITION BY piece) AS last FROM state) WHERE step = last ORDER BY piece, pos
 """
 
+#: The same, but all places of the least rank at once: of a run of overlapping ones the first, third and so on. That is
+#: what one after the other gives unless a pair with the new token ranks before it (an odd ``rank``): then only the first.
+ENCODE_ALL = """
+WITH RECURSIVE state(step, piece, pos, token) AS (
+  SELECT 0, piece, pos, token FROM rows
+  UNION ALL
+  SELECT step + 1, piece, pos, CASE WHEN chosen THEN best >> 1 ELSE token END
+  FROM (
+    SELECT *, lag(chosen, 1, false) OVER (PARTITION BY piece ORDER BY pos) AS gone
+    FROM (
+      SELECT *, hit AND (CASE WHEN best % 2 = 1 THEN place = first_hit
+        ELSE (place - coalesce(max(CASE WHEN NOT hit THEN place END) OVER (PARTITION BY piece ORDER BY pos ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1 END) AS chosen
+      FROM (
+        SELECT *, coalesce(rank = best, false) AS hit, min(CASE WHEN rank = best THEN place END) OVER (PARTITION BY piece) AS first_hit
+        FROM (
+          SELECT *, min(rank) OVER (PARTITION BY piece) AS best
+          FROM (
+            SELECT pairs.step, pairs.piece, pairs.pos, pairs.token, pairs.place, merges.rank
+            FROM (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY pos) AS place, (CAST(token AS BIGINT) << 32) + lead(token) OVER (PARTITION BY piece ORDER BY pos) AS pair FROM state WHERE step < $1) AS pairs
+            LEFT JOIN merges ON merges.pair = pairs.pair
+          )
+        )
+      )
+    )
+  )
+  WHERE best IS NOT NULL AND NOT gone
+)
+SELECT piece, token FROM (SELECT *, max(step) OVER (PARTITION BY piece) AS last FROM state) WHERE step = last ORDER BY piece, pos
+"""
+
 DECODE = """
 SELECT text, string_agg(bytes, '' ORDER BY pos) AS s, count(*) AS n FROM rows JOIN vocabulary USING (id) GROUP BY text
 """
@@ -237,18 +309,20 @@ class Encoder:
         self.place = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
+        self.bytes = np.zeros(0, np.uint8)  # of the known pieces, one behind the other
+        self.byte_ends = np.zeros(1, np.int64)
+        self.odd: dict[bytes, int] = {}  # pieces whose hash another piece has
 
-    def learn(self, hashes: np.ndarray, pieces: list[bytes]):
-        """New pieces, their hashes ascending."""
+    def learn(self, pieces: list[bytes]) -> np.ndarray:
+        """The numbers of new pieces."""
         got = self.codec.encode(pieces)
-        if not got:
-            return
-        where = np.searchsorted(self.hashes, hashes)
         n = len(self.ends) - 1
-        self.place = np.insert(self.place, where, np.arange(n, n + len(got), dtype=np.int32))
-        self.hashes = np.insert(self.hashes, where, hashes)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in got])])
-        self.ids = np.concatenate([self.ids, *got])
+        if got:
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in got])])
+            self.ids = np.concatenate([self.ids, *got])
+            self.byte_ends = np.concatenate([self.byte_ends, self.byte_ends[-1] + np.cumsum([len(p) for p in pieces])])
+            self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
+        return np.arange(n, n + len(got), dtype=np.int32)
 
     def pieces(self, col) -> tuple[np.ndarray, np.ndarray]:
         """The known number of each piece, and where each text's begin (one more at the end)."""
@@ -256,16 +330,35 @@ class Encoder:
         starts = piece_starts(buf, off)
         ends = np.append(starts[1:], len(buf))[: len(starts)]
         keys, at, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) + len(keys) > KNOWN_PIECES:
+        if len(self.ends) + len(keys) > KNOWN_PIECES:
             self.forget()
         spot = np.searchsorted(self.hashes, keys)
         new = np.ones(len(keys), bool)
         inside = spot < len(self.hashes)
         new[inside] = self.hashes[spot[inside]] != keys[inside]
         data = buf.tobytes()
-        self.learn(keys[new], [data[i:j] for i, j in zip(starts[at[new]], ends[at[new]])])
-        number = self.place[np.searchsorted(self.hashes, keys)] if len(keys) else np.zeros(0, np.int32)
-        return number[back], np.searchsorted(starts, off)
+        numbers = self.learn([data[i:j] for i, j in zip(starts[at[new]], ends[at[new]])])
+        where = spot[new]
+        self.place = np.insert(self.place, where, numbers)
+        self.hashes = np.insert(self.hashes, where, keys[new])
+        number = self.place[np.searchsorted(self.hashes, keys)][back] if len(keys) else np.zeros(0, np.int32)
+        for i in self.unlike(buf, starts, ends, number).tolist():
+            piece = data[starts[i] : ends[i]]
+            if piece not in self.odd:
+                self.odd[piece] = int(self.learn([piece])[0])
+            number[i] = self.odd[piece]
+        return number, np.searchsorted(starts, off)
+
+    def unlike(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which pieces aren't the known ones that they were taken for. Pieces cover ``buf``."""
+        n = ends - starts
+        wrong = np.diff(self.byte_ends)[number] != n
+        # Bytes of the known piece at the same place; of one of another length, any.
+        shift = np.repeat(self.byte_ends[number] - starts, n) + np.arange(len(buf))
+        differ = self.bytes[np.minimum(shift, len(self.bytes) - 1)] != buf if len(buf) else np.zeros(0, bool)
+        if differ.any():
+            wrong |= np.add.reduceat(differ, starts) > 0
+        return np.flatnonzero(wrong)
 
 
 @functools.lru_cache(maxsize=1)

@@ -277,10 +277,30 @@ def test_near_duplicates(docs, rows, n):
     assert sorted(map(tuple, near.classes(docs, n).collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_words_that_a_polynomial_confuses(spark):
+    one, two = thue_morse(1024)
+    rest = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([two, *rest])), (3, " ".join([one, *rest, one])), (4, one), (5, two)]
+    n = near.Near(3, 95, 36, 7)
+    sets, label = linked(rows, 3, 95)
+    want = {(d, len(s), min(e for (e, _), y in zip(rows, label) if y == x)) for (d, _), s, x in zip(rows, sets, label)}
+    assert {tuple(r)[:3] for r in near.classes(spark.createDataFrame(rows, "doc_id long, text string"), n).collect()} == want
+
+
+def test_near_copies_without_ids(spark):
+    """A family that has no ids at all is one group, at a cost that doesn't grow with its square."""
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, f"{base} end{i}") for i in range(300)] + [(None, "of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert near.one_of_each(df).count() == 2
+
+
 def test_large_clusters_in_blocks(spark, monkeypatch):
     """A family of near copies and a chain, dealt out in many small blocks."""
     monkeypatch.setattr(near, "BLOCK_SHINGLES", 2000)
     monkeypatch.setattr(near, "HUBS", 2)
+    monkeypatch.setattr(near, "STRAYS", 5)
+    monkeypatch.setattr(near, "OTHERS", 5)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(200)]
     rows, chain = [], list(base)
@@ -338,6 +358,45 @@ def test_bpe(docs, rows, tokenizer):
     assert sorted(map(tuple, bpe.round_trip(docs).collect()), key=repr) == sorted(want, key=repr)
 
 
+def ids_of(encoder, texts):
+    import pyarrow as pa
+
+    number, cut = encoder.pieces(pa.array(texts))
+    return [[int(t) for k in number[i:j] for t in encoder.ids[encoder.ends[k] : encoder.ends[k + 1]]] for i, j in zip(cut[:-1], cut[1:])]
+
+
+def thue_morse(n):
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_pieces(tokenizer):
+    rng = np.random.default_rng(4)
+    latin = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(180, 501, 400)]
+    thai = ["".join(map(chr, rng.integers(0xE01, 0xE2F, n))) for n in rng.integers(60, 167, 600)]
+    runs = [x * n for x in ("a", "=", " ", "\u2500", "\n", "abc", "haha", "\u65e5\u672c\u8a9e") for n in (15, 16, 17, 63, 64, 65, 129, 1000)]
+    one = "".join(map(chr, rng.integers(97, 123, 100_000)))
+    texts = [" ".join(latin), " ".join(thai), *thai[:50], *runs, one, " ".join(thue_morse(1024)), "x" * 30_001]
+    assert ids_of(bpe.Encoder(bpe.default_path()), texts) == [tokenizer.encode_ordinary(t) for t in texts]
+
+
+def test_pieces_of_equal_hashes_are_told_apart(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64) // np.uint64(3))
+    texts = ["some words of equal hashes", "other words, equally long", "some words"]
+    e = bpe.Encoder(bpe.default_path())
+    for _ in range(2):
+        assert ids_of(e, texts) == [tokenizer.encode_ordinary(t) for t in texts]
+
+
+def test_states_that_go_on_in_another_query(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "STATE_ROWS", 50)
+    text = "".join(map(chr, np.random.default_rng(6).integers(97, 123, 500)))
+    codec = bpe.encoder(bpe.default_path()).codec
+    assert codec._query([text.encode()])[0].tolist() == tokenizer.encode_ordinary(text)
+
+
 def test_bpe_ids_decode(odd_docs):
     tokens = bpe.encode(odd_docs)
     got = Counter((r["doc_id"], bytes(r["data"])) for r in bpe.decode(tokens).collect())
