@@ -1,24 +1,35 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-A rule rejects a document when one of its ratios exceeds a cutoff. Cutoffs are
-chosen per stratum (language) from labelled documents: a rule may only reject a
-small share ``ALPHA`` of the documents labelled good. For each cutoff, from the
-laxest to the strictest, the exact binomial tail P(X <= k | n, ALPHA / rules) has
-to be at most ``DELTA`` divided by the number of (stratum, rule) pairs; the
-sequence ends at its first failure (fixed-sequence testing), and Bonferroni over
-the pairs covers the rest. So with confidence 1 - DELTA, no stratum loses more
-than ALPHA of its good documents by all rules together.
+Each rule has a ratio and a limit; a document's badness is the largest of its ratios in
+thousandths of their limits, at least 1000 and at most ``MOST``. A document is rejected
+when its badness exceeds the cutoff of its stratum (language), so one that is within all
+limits never is. Cutoffs come from labelled documents: with n labels good in a stratum,
+k is the largest number whose exact binomial tail P(X <= k | n, ALPHA) is at most
+``DELTA`` divided by the number of tested strata (Bonferroni), and the cutoff is the least
+badness that at most k of the n exceed. Strata whose n alone rules a cutoff out, with
+(1 - ALPHA) ** n above DELTA, aren't tested. So with confidence 1 - DELTA no stratum loses
+more than ALPHA of its good documents. Badness is one number, so all rules together are
+one test per stratum, and the cutoff is that of a sequence of tests from the laxest to
+the strictest that ends at its first failure. A stratum needs
+ln(DELTA / strata) / ln(1 - ALPHA) labels for any cutoff: 149 alone, 217 beside three others.
+
+Labels are held out: nothing else is fitted to them. A document counts once however many
+rows or labels name it, with its worst badness, as good where any label says so.
 
 Defined cases: a null text counts as an empty one (0 words; it fails the base
-rule); a null language is a stratum of its own; a stratum without labels has no
-cutoffs and keeps all that passes the base rule; repeated rows are judged each by
-itself; labels of unknown documents or with a null quality do nothing; with an
-empty table of labels only the base rule holds. Columns beside doc_id, text and
-lang aren't read.
+rule); very long texts are counted whole; a null language is a stratum of its own; a
+stratum without labels, or with too few, has no cutoff and keeps all that passes the base
+rule; documents of equal badness share their verdict; repeated rows are judged each by
+itself; null ids have no labels; labels of unknown documents or with a null quality do
+nothing; with an empty table of labels only the base rule holds; an empty table gives an
+empty result. Columns beside doc_id, text and lang aren't read; ``passing`` carries them
+in one struct, so names can't clash.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,15 +37,17 @@ from pyspark.sql.window import Window
 from tessera.llm.common import SPACE, WORD, shelve, words
 
 MIN_WORDS = 50
-ALPHA = 0.02
-DELTA = 0.05
+#: The share of good documents that a stratum may lose, in thousandths, and the risk of losing more in any stratum.
+ALPHA_MILLE, DELTA = 20, 0.05
+MOST = 50_000
 SYMBOLS = "[#*$%&|<>]+"
-#: Each rule's ratio, and its cutoffs from the laxest to the strictest.
+#: Each rule's ratio in thousandths of its limit, in whole numbers. The limits: 0.05 symbols per character of words, 0.03
+#: repeated lines and 0.2 repeated words per word, 12 characters per word.
 RULES = {
-    "symbols": (lambda c: c("n_symbols") / c("word_chars"), (0.5, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05)),
-    "dup_lines": (lambda c: c("n_dup_lines") / c("n_words"), (0.25, 0.15, 0.1, 0.07, 0.05, 0.03)),
-    "repeats": (lambda c: c("n_repeat_words") / c("n_words"), (0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
-    "word_length": (lambda c: c("word_chars") / c("n_words"), (30.0, 20.0, 15.0, 12.0)),
+    "symbols": "n_symbols * 20000 {div} greatest(word_chars, 1)",
+    "dup_lines": "n_dup_lines * 100000 {div} greatest(3 * n_words, 1)",
+    "repeats": "n_repeat_words * 5000 {div} greatest(n_words, 1)",
+    "word_length": "word_chars * 1000 {div} greatest(12 * n_words, 1)",
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -93,61 +106,52 @@ def base_failed(c=F.col) -> Column:
     return (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > 50 * c("n_words"))
 
 
-def _tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X <= k) for X binomial (n, p), summed from 0 to k in logarithms."""
-    odds = F.log(p / (1 - p))
-    end = F.aggregate(
-        F.sequence(F.lit(0), k),
-        F.struct(F.lit(0.0).alias("t"), F.lit(None).cast("double").alias("s")),
-        lambda s, i: F.struct(
-            F.when(i == 0, n * F.log(1 - p)).otherwise(s["t"] + F.log((n - i + 1) / i) + odds).alias("t"),
-            F.when(i == 0, n * F.log(1 - p))
-            .otherwise(
-                F.greatest(s["s"], s["t"] + F.log((n - i + 1) / i) + odds)
-                + F.log1p(F.exp(-F.abs(s["s"] - (s["t"] + F.log((n - i + 1) / i) + odds))))
-            )
-            .alias("s"),
-        ),
-        lambda s: s["s"],
+def badness(div: str = "div") -> str:
+    """The expression of a document's badness; ``div`` is the sign of division without rest."""
+    return f"greatest(1000, least({MOST}, greatest({', '.join(r.format(div=div) for r in RULES.values())})))"
+
+
+def most_rejected(n: Column, level: float, alpha_mille: int = ALPHA_MILLE) -> Column:
+    """The largest k with P(X <= k) <= ``level`` for X binomial (n, alpha), -1 if there is none.
+
+    Probabilities are summed from 0 up, as logarithms; beyond n * alpha the sum is about a half.
+    """
+    p, limit = alpha_mille / 1000, math.log(level)
+    first = n * math.log1p(-p)
+    # Logarithms of P(X = i) and of their sum so far.
+    one = lambda s, i: s["one"] + F.log((n - i + 1) / i) + math.log(p / (1 - p))
+    add = lambda s, t: F.greatest(s["all"], t) + F.log1p(F.exp(-F.abs(s["all"] - t)))
+    end = F.floor(n * alpha_mille / 1000).cast("int")
+    return F.aggregate(
+        F.when(end >= 1, F.sequence(F.lit(1), end)).otherwise(F.array().cast("array<int>")),
+        F.struct(first.alias("one"), first.alias("all"), F.when(first <= limit, 0).otherwise(-1).alias("k")),
+        lambda s, i: F.struct(one(s, i).alias("one"), add(s, one(s, i)).alias("all"), F.when(add(s, one(s, i)) <= limit, i).otherwise(s["k"]).alias("k")),
+        lambda s: s["k"],
     )
-    return F.exp(end)
 
 
-def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum and a cutoff per rule (null: the rule isn't used there)."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_id"))
+def cutoffs(feats: DataFrame, labels: DataFrame, alpha_mille: int = ALPHA_MILLE, delta: float = DELTA) -> DataFrame:
+    """stratum and cutoff, for strata with labels enough. Each stratum has at most MOST rows where badness is counted."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
     held = feats.join(good, feats["doc_id"] == good["_id"], "left_semi").filter(~base_failed())
-    # One pass: for every (rule, cutoff), how many good documents exceed it.
-    cells = [(r, j, c) for r, (_, cs) in RULES.items() for j, c in enumerate(cs)]
-    counts = held.groupBy(F.col("lang").alias("stratum")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(RULES[r][0](F.col) > c).alias(f"{r}__{j}") for r, j, c in cells],
-    )
-    strata = counts.count() or 1
-    level = delta / (strata * len(RULES))
-    p = F.lit(alpha / len(RULES))
-    tests = counts.select(
-        "stratum",
-        "n",
-        F.explode(
-            F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(j).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r}__{j}").alias("k")) for r, j, c in cells])
-        ).alias("x"),
-    ).select("stratum", "n", "x.*")
-    # Beyond k = n p the tail is about a half: it can't be at most the level.
-    tests = tests.withColumn("ok", F.when(F.col("k") <= F.col("n") * p, _tail(F.col("k"), F.col("n"), p) <= level).otherwise(False))
-    run = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    tests = tests.withColumn("held", F.min("ok").over(run)).filter("held")
-    return tests.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    each = held.groupBy(F.col("lang").alias("stratum"), "doc_id").agg(F.max(F.expr(badness())).alias("badness"))
+    cells = shelve(each.groupBy("stratum", "badness").agg(F.count(F.lit(1)).alias("c")))
+    strata = cells.groupBy("stratum").agg(F.sum("c").alias("n")).filter(F.col("n") * math.log1p(-alpha_mille / 1000) <= math.log(delta))
+    level = delta / max(strata.count(), 1)
+    most = strata.select(F.col("stratum").alias("_s"), most_rejected(F.col("n"), level, alpha_mille).alias("most")).filter("most >= 0")
+    # The limit itself is a possible cutoff, whether or not a label stands there.
+    cells = cells.unionByName(strata.select("stratum", F.lit(1000).cast("long").alias("badness"), F.lit(0).cast("long").alias("c")))
+    above = Window.partitionBy("stratum").orderBy(F.desc("badness")).rangeBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("above", F.coalesce(F.sum("c").over(above), F.lit(0)))
+    return cells.join(most, F.col("stratum").eqNullSafe(F.col("_s"))).filter("above <= most").groupBy("stratum").agg(F.min("badness").alias("cutoff"))
 
 
 def judged(feats: DataFrame, cuts: DataFrame) -> DataFrame:
     """Adds base_failed and kept. ``cuts`` has a row per stratum; its size decides how it is joined."""
     df = feats.join(cuts, feats["lang"].eqNullSafe(cuts["stratum"]), "left")
-    over = F.lit(False)
-    for r, (ratio, _) in RULES.items():
-        over = over | F.coalesce(ratio(F.col) > F.col(f"cut_{r}"), F.lit(False))
+    over = F.coalesce(F.expr(badness()) > F.col("cutoff"), F.lit(False))
     failed = base_failed()
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~over).drop("stratum", *[f"cut_{r}" for r in RULES])
+    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~over).drop("stratum", "cutoff")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:

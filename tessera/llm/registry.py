@@ -51,7 +51,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_round_trip, op3_suffix_dedup, op4_url_filter, op5_license_scan, op6_minhash_near_dedup, op7_bpe_round_trip, op8_media_columns, op9_lm_scoring, op10_quality_rules)}
 
 _URL_VALUES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in urls.RULES)
-_CELLS = ", ".join(f"('{r}', {j}, {c!r})" for r, (_, cs) in quality.RULES.items() for j, c in enumerate(cs))
 
 SQL = {
     "op6_minhash_near_dedup": r"""
@@ -89,19 +88,17 @@ f AS (SELECT w.r, doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(lis
           - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
         coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON w.r = rep.r),
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-v AS (SELECT r, rule, x FROM (SELECT r, unnest([{', '.join(f"'{r}'" for r in quality.RULES)}]) AS rule,
-        unnest([n_symbols / nullif(word_chars, 0), n_dup_lines / nullif(n_words, 0), n_repeat_words / nullif(n_words, 0), word_chars / nullif(n_words, 0)]) AS x FROM b)),
-cells(rule, step, cutoff) AS (VALUES {_CELLS}),
-held AS (SELECT r, lang FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-size AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
-k AS (SELECT held.lang, cells.rule, step, cutoff::DOUBLE AS cutoff, count(*) FILTER (WHERE x > cutoff) AS k FROM held JOIN v ON v.r = held.r JOIN cells ON cells.rule = v.rule GROUP BY ALL),
-p AS (SELECT {quality.ALPHA / len(quality.RULES)!r}::DOUBLE AS a, {quality.DELTA!r}::DOUBLE / ((SELECT count(*) FROM size) * {len(quality.RULES)}) AS level),
-tail AS (SELECT k.*, CASE WHEN k <= n * a THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a)))) <= level ELSE false END AS ok
-      FROM k JOIN size ON k.lang IS NOT DISTINCT FROM size.lang, p),
-run AS (SELECT *, min(ok::INT) OVER (PARTITION BY lang, rule ORDER BY step) AS still FROM tail),
-cut AS (SELECT lang, rule, min(cutoff) AS cutoff FROM run WHERE still = 1 GROUP BY lang, rule),
-bad AS (SELECT DISTINCT v.r FROM v JOIN b ON b.r = v.r JOIN cut ON cut.lang IS NOT DISTINCT FROM b.lang AND cut.rule = v.rule WHERE x > cutoff)
+v AS (SELECT *, {quality.badness("//")} AS badness FROM b),
+held AS (SELECT lang, doc_id, max(badness) AS badness FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang, doc_id),
+size AS (SELECT lang, count(*) AS n FROM held GROUP BY lang HAVING count(*) * ln(1 - {quality.ALPHA_MILLE}::DOUBLE / 1000) <= ln({quality.DELTA!r}::DOUBLE)),
+p AS (SELECT {quality.ALPHA_MILLE}::DOUBLE / 1000 AS a, {quality.DELTA!r}::DOUBLE / (SELECT count(*) FROM size) AS level),
+tail AS (SELECT lang, n, k, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a)))) AS t
+      FROM (SELECT lang, n, unnest(range(0, n * {quality.ALPHA_MILLE} // 1000 + 1)) AS k FROM size), p),
+most AS (SELECT lang, max(k) AS most FROM tail, p WHERE t <= level GROUP BY lang),
+cell AS (SELECT lang, badness FROM held UNION SELECT lang, 1000 FROM size),
+above AS (SELECT cell.lang, cell.badness, count(held.doc_id) AS above FROM cell LEFT JOIN held ON held.lang IS NOT DISTINCT FROM cell.lang AND held.badness > cell.badness GROUP BY ALL),
+cut AS (SELECT above.lang, min(badness) AS cutoff FROM above JOIN most ON most.lang IS NOT DISTINCT FROM above.lang WHERE above <= most GROUP BY above.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM b
+  NOT base_failed AND NOT coalesce(badness > cutoff, false) AS kept FROM v LEFT JOIN cut ON cut.lang IS NOT DISTINCT FROM v.lang
 """,
 }

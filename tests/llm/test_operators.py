@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -569,21 +571,71 @@ def test_quality_counts(docs, rows, some_labels):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
-def test_cutoffs_hold_the_risk(spark):
-    """Good documents below, junk above: a cutoff comes between; few labels certify none."""
-    import math
+def exact_most(n, level, alpha):
+    total, k = Fraction(0), -1
+    while k < n:
+        total += math.comb(n, k + 1) * alpha ** (k + 1) * (1 - alpha) ** (n - k - 1)
+        if total > level:
+            return k
+        k += 1
+    return k
 
-    rng = np.random.default_rng(2)
-    rows = [(i, "en", 100, 500, int(rng.random() < 0.001) * 300, 0, 0) for i in range(20000)] + [(100000 + i, "xx", 100, 500, 0, 0, 0) for i in range(100)]
-    feats = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
-    labels = feats.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
-    got = {r["stratum"]: r for r in quality.cutoffs(feats, labels).collect()}
-    assert set(got) == {"en"} and got["en"]["cut_symbols"] == 0.05
-    k, n, p = 20, 20000, 0.0025
-    tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
+
+def brute_badness(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words):
+    limits = (Fraction(5, 100), word_chars, n_symbols), (Fraction(3, 100), n_words, n_dup_lines), (Fraction(2, 10), n_words, n_repeat_words), (Fraction(12), n_words, word_chars)
+    return max(1000, min(50_000, max(math.floor(1000 * x / (limit * size)) if size else 0 for limit, size, x in limits)))
+
+
+def test_most_rejected(spark):
     from pyspark.sql import functions as F
 
-    assert abs(spark.range(1).select(quality._tail(F.lit(k), F.lit(n), F.lit(p))).first()[0] - tail) < 1e-12
+    n = [1, 148, 149, 216, 217, 300, 1000, 2076]
+    for level in (0.05, 0.0125):
+        got = spark.createDataFrame([(x,) for x in n], "n long").select("n", quality.most_rejected(F.col("n"), level).alias("k")).collect()
+        assert {r["n"]: r["k"] for r in got} == {x: exact_most(x, Fraction(level), Fraction(20, 1000)) for x in n}
+
+
+def test_verdicts_with_cutoffs(spark):
+    """Planted labels: strata with many, few and no labels; repeated, null and unknown ids; ties. Against brute force."""
+    rng = np.random.default_rng(11)
+    docs, labels = [], []
+    for i in range(1400):
+        lang = ["en", "de", "xx", None][min(3, int(rng.integers(0, 9)) // 2 if i % 3 else 0)]
+        w = [f"w{x}" for x in rng.integers(0, 10_000, 60)]
+        junk = int(rng.integers(0, 30)) if rng.random() < 0.06 else 0
+        docs.append((i, " ".join(w) + " #" * junk + (" " + "l" * 900 if rng.random() < 0.02 else ""), lang))
+        if lang != "xx" or i % 20 == 0:
+            labels.append((i, int(junk < 20), 0))
+    docs += [docs[3], (None, "a b " * 40, "en"), (5, "other text under one id " * 3 + "#" * 400, docs[5][2]), (2000, None, "en")]
+    labels += [labels[0], (None, 1, 0), (99_999, 1, 0), (7, None, 0), (8, 0, 0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    out = quality.verdicts(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    lang = defaultdict(set)
+    for i, _, x in docs:
+        lang[i].add(x)
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    # All rows of an id are of one language; those of id 5 differ.
+    held = defaultdict(lambda: defaultdict(int))
+    for r in out:
+        if r["doc_id"] in good and not r["base_failed"]:
+            (x,) = lang[r["doc_id"]]
+            held[x][r["doc_id"]] = max(held[x][r["doc_id"]], brute_badness(*r[1:6]))
+    alpha = Fraction(20, 1000)
+    tested = {x: sorted(v.values()) for x, v in held.items() if (1 - alpha) ** len(v) <= Fraction(5, 100)}
+    cut = {}
+    for x, v in tested.items():
+        most = exact_most(len(v), Fraction(5, 100) / len(tested), alpha)
+        if most >= 0:
+            cut[x] = min(c for c in {1000, *v} if sum(y > c for y in v) <= most)
+    assert cut and set(cut) < set(held) | {"xx"} and "xx" not in cut
+    rejected = 0
+    for r in out:
+        x = next(iter(lang[r["doc_id"]]))
+        kept = not r["base_failed"] and not (x in cut and brute_badness(*r[1:6]) > cut[x])
+        assert r["kept"] == kept, r
+        rejected += not r["base_failed"] and not kept
+    assert rejected > 5
+    assert all(r["kept"] != r["base_failed"] for r in quality.verdicts(d, spark.createDataFrame(labels[:40], "doc_id long, quality int, toxic int")).collect())
 
 
 def test_passing_keeps_columns(docs, some_labels):
