@@ -12,11 +12,15 @@ from a hash of its id, and documents are taken by ascending key while a prefix
 sum stays within the budget. The document that crosses it gives only its first
 words, so a source's words equal its target to the nearest word.
 
-No source is sorted as a whole: keys fall into ``BUCKETS`` ordered buckets whose
-sums tell in which bucket the budget ends, and only that bucket's documents are
-sorted. So a source with a third of all rows costs no more than any other.
-
-Defined cases: a null text has 0 words and takes 0; null is a source of its own,
+No source is sorted as a whole: keys fall into ordered buckets, ``STEPS`` for each
+doubling of the key, whose sums tell in which bucket the budget ends, and only that
+bucket's documents are sorted. A weight only shifts a key's logarithm, so whatever the
+weights a bucket holds at most 0.37 ln 2 / STEPS (0.05 %) of a source's documents, as a
+mean, and there are at most 64 STEPS. So a source with a third of all rows costs
+no more than any other.
+
+Defined cases: a null text has 0 words and takes 0; a very long text is one document like
+others, which may be cut where the budget ends; a document with a null id is keyed by its text; null is a source of its own,
 the last one; a source without words has target 0; rows that repeat are separate
 documents, rows with one doc_id are ordered by size and a hash of the text; an
 empty table gives an empty result. Columns of other names pass through ``mix``
@@ -34,8 +38,10 @@ from tessera.llm.common import SPACE, WORD, n_words, shelve
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-BUCKETS = 4096
+STEPS = 512
 SEED = 20240229
+#: A bucket below all others: where nothing is to be taken from the fractional epoch.
+NEVER = -(1 << 20)
 
 
 def quality_weight(text: Column) -> Column:
@@ -48,7 +54,8 @@ def quality_weight(text: Column) -> Column:
 def keyed(docs: DataFrame, *keep: Column | str) -> DataFrame:
     """``keep`` and _source, _size, _key, _bucket, _tie for each row."""
     text = F.coalesce("text", F.lit(""))
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11) + 0.5) / float(1 << 53)
+    own = F.coalesce(F.col("doc_id"), F.xxhash64(text))  # texts without ids don't share a key
+    u = (F.shiftrightunsigned(F.xxhash64(own, F.lit(SEED)), 11) + 0.5) / float(1 << 53)
     df = docs.select(
         *keep,
         F.col("source").alias("_source"),
@@ -56,7 +63,7 @@ def keyed(docs: DataFrame, *keep: Column | str) -> DataFrame:
         (-F.log(u) / F.coalesce(quality_weight(text), F.lit(1.0))).alias("_key"),
         F.xxhash64("doc_id", text).alias("_tie"),
     )
-    return df.withColumn("_bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS)).cast("int"))
+    return df.withColumn("_bucket", F.floor(F.log2("_key") * STEPS).cast("int"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -97,7 +104,7 @@ def source_plan(keys: DataFrame) -> DataFrame:
     return shelve(
         plan.select(
             F.col("_source").alias("_from"), "source_size", "target", "_epochs",
-            F.coalesce("_x._bucket", F.lit(-1)).alias("_cut"), F.coalesce("_x._left", F.lit(0)).alias("_left"),
+            F.coalesce("_x._bucket", F.lit(NEVER)).alias("_cut"), F.coalesce("_x._left", F.lit(0)).alias("_left"),
         )
     )
 
@@ -105,9 +112,10 @@ def source_plan(keys: DataFrame) -> DataFrame:
 def mix(keys: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds source_size, target, _epochs and _part (words of the fractional epoch) to the rows of ``keyed``."""
     df = keys.join(plan, keys["_source"].eqNullSafe(plan["_from"])).drop("_from")
-    sure = df.filter("_bucket != _cut").withColumn("_part", F.when(F.col("_bucket") < F.col("_cut"), F.col("_size")).otherwise(F.lit(0)))
+    # Documents without words take nothing wherever they stand, so however many there are, none is sorted.
+    sure = df.filter("_bucket != _cut OR _size = 0").withColumn("_part", F.when(F.col("_bucket") < F.col("_cut"), F.col("_size")).otherwise(F.lit(0)))
     before = Window.partitionBy("_source").orderBy("_key", "_tie", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = df.filter("_bucket = _cut").withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    edge = df.filter("_bucket = _cut AND _size > 0").withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     edge = edge.withColumn("_part", F.greatest(F.lit(0), F.least("_size", F.col("_left") - F.col("_before")))).drop("_before")
     return sure.unionByName(edge)
 
@@ -131,11 +139,11 @@ def remixed(docs: DataFrame) -> DataFrame:
     """The mixed documents with their own columns: a row per epoch, and one for the part that the fractional epoch takes.
 
     A part is cut before the word after its last one; an untaken document has no row.
-    A document without words is taken once, since it uses no budget.
+    A document without words is taken once, since it uses no budget. The rows are written
+    beside their keys, which cost more than that to make twice; the plan reads only the keys.
     """
-    plan = source_plan(shelve(keyed(docs)))
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    df = mix(keyed(docs, row), plan)
+    keys = shelve(keyed(docs, F.struct(*[docs[c] for c in docs.columns]).alias("_row")))
+    df = mix(keys, source_plan(keys))
     part = F.when(F.col("_part") > 0, F.array(F.col("_part")))
     none = F.when((F.col("_size") == 0) & (F.col("_epochs") == 0), F.array(F.lit(0).cast("long")))
     full = F.array_repeat(F.col("_size"), F.col("_epochs").cast("int"))
