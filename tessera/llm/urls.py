@@ -7,13 +7,17 @@ block before allow, then the smaller string).
 
 Only path prefixes of a length that some rule has, and suffixes of no more
 labels than the longest rule host, are expanded. The number of expressions per
-URL so depends on the rules, not on the URL or the table. Equal URLs are judged
-once; a host that a third of the pages share therefore costs its distinct URLs.
+URL so depends on the rules, not on the URL or the table. Rules join on the short hashes
+alone; the full digests confirm where a row's best rule is picked, row by row, so a
+URL or host that a third of the pages share is no key of any shuffle, and a row's
+expressions are summed up before it is sent anywhere. The planner broadcasts the rules
+if their size allows; else it joins by short hash, and splits frequent ones.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and
-fits no rule; repeated rows and null ids each get a row; empty labels (``a..b``)
-are labels like any other; empty tables give empty results. Columns beside
-page_id and url aren't read.
+fits no rule; very long URLs are judged whole; repeated rows and null ids each get a
+row; empty labels (``a..b``) are labels like any other; of equally long rules a block
+goes before an allow, then the smaller string; empty tables give empty results. Columns
+beside page_id and url aren't read.
 """
 
 from __future__ import annotations
@@ -48,7 +52,6 @@ def split_url(url) -> tuple:
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages``."""
     host, path = split_url(F.col("url"))
-    distinct = pages.select("url").distinct().select("url", host.alias("host"), path.alias("path"))
     shape = rules.agg(
         F.collect_set(F.length("rule_path")).alias("lengths"),
         F.max(F.size(F.split("rule_host", r"\."))).alias("depth"),
@@ -58,20 +61,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     n = F.size(labels)
     hosts = F.transform(F.sequence(F.greatest(F.lit(1), n - depth + 1), n), lambda k: F.array_join(F.slice(labels, k, n - k + 1), "."))
     paths = F.array_distinct(F.array(*[F.substring("path", 1, k) for k in lengths])) if lengths else F.array().cast("array<string>")
-    expressions = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
-    keyed = distinct.filter("host != ''").select("url", F.explode(expressions).alias("expression"))
-    keyed = keyed.withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, HASH_CHARS))
+    expressions = F.when(F.col("host") != "", F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
+    keyed = rows.withColumn("expression", F.explode_outer(expressions)).withColumn("digest", F.sha2("expression", 256))
+    keyed = keyed.select("row", "page_id", "host", "path", "digest", F.substring("digest", 1, HASH_CHARS).alias("short"))
     named = rules.withColumn("rule", F.concat("rule_host", "rule_path")).withColumn("full", F.sha2("rule", 256))
     named = named.select("action", "rule", "full", F.substring("full", 1, HASH_CHARS).alias("prefix"))
-    hits = keyed.join(named, (keyed["short"] == named["prefix"]) & (keyed["digest"] == named["full"]))
-    # Longest first, then block before allow, then by string.
-    order = F.struct(-F.length("rule"), F.when(F.col("action") == "block", 0).otherwise(1), F.col("rule"))
-    best = hits.groupBy("url").agg(F.min_by(F.struct("rule", "action"), order).alias("best")).withColumnRenamed("url", "hit_url")
-    df = pages.select("page_id", "url").join(best, F.col("url") == F.col("hit_url"), "left")
-    return df.select(
-        "page_id",
-        host.alias("host"),
-        path.alias("path"),
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.action", F.lit(default)).alias("verdict"),
-    )
+    hits = keyed.join(named, keyed["short"] == named["prefix"], "left")
+    # Longest first, then block before allow, then by string; without an order where only the short hash fits.
+    order = F.when(F.col("digest") == F.col("full"), F.struct(-F.length("rule"), F.when(F.col("action") == "block", 0).otherwise(1), F.col("rule")))
+    best = hits.groupBy("row", "page_id", "host", "path").agg(F.min_by(F.struct("rule", "action"), order).alias("best"))
+    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
