@@ -329,7 +329,9 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """One row of each group, with its own columns; rows without shingles that repeat stand once."""
-    row = F.struct(*docs.columns).alias("_row")
+    # The text travels once, the other columns beside it in a struct (of a constant, where there are none).
+    rest = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*(rest or [F.lit(0).alias("none")])).alias("_row")
     sig = shelve(signed(docs.select("doc_id", "text", row), near))
     named = _classed(sig, near)
     some = sig.filter("n_shingles > 0").select("doc_id", "d1", "d2", "rid", F.xxhash64("text").alias("h"))
@@ -337,4 +339,5 @@ def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
     first = some.join(named, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))).groupBy("class").agg(F.min(order)["rid"].alias("_rid"))
     blank = sig.filter("n_shingles = 0").groupBy("doc_id", "text").agg(F.min("rid").alias("_rid"))
     kept = shelve(first.select("_rid").unionByName(blank.select("_rid"))).hint("merge")
-    return sig.select("rid", "_row").join(kept, F.col("rid") == F.col("_rid"), "left_semi").select("_row.*")
+    df = sig.select("rid", "doc_id", "text", "_row").join(kept, F.col("rid") == F.col("_rid"), "left_semi")
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_row")[c].alias(c) for c in docs.columns])
