@@ -58,3 +58,44 @@ def or_default(c: Column, default: Column | str) -> Column:
     """An empty string counts as missing, as null does."""
     d = default if isinstance(default, Column) else F.lit(default)
     return F.when(F.length(c) > 0, c).otherwise(d)
+
+
+#: Most characters of a field of one's own, of an answer and of a message.
+MOST_CHARS = {"other": 30, "answer": 100, "message": 500}
+
+
+def fits(c: Column, kind: str) -> Column:
+    return F.length(c) <= MOST_CHARS[kind]
+
+
+def initial(c: Column) -> Column:
+    """The first character (code point), or a question mark."""
+    return F.when(F.length(c) > 0, F.substring(c, 1, 1)).otherwise("?")
+
+
+def replace_first(template: Column, placeholder: str, value: Column) -> Column:
+    """The first occurrence only, and the value as it is; without one the template stays."""
+    at, mark = F.instr(template, placeholder), F.lit(len(placeholder))
+    return F.when(at > 0, F.concat(F.substring(template, F.lit(1), at - 1), value, F.substring(template, at + mark, F.length(template)))).otherwise(template)
+
+
+def local_time(ms: Column, zone: str) -> Column:
+    """HH:mm in a zone, whatever the session's."""
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.floor(ms / 1000))
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), "HH:mm")
+
+
+#: Signs that an address's part keeps, as the encoder of forms writes them.
+KEPT_SIGNS = {"+": "%20", "%21": "!", "%7E": "~", "%27": "'", "%28": "(", "%29": ")"}
+
+
+def uri_component(c: Column) -> Column:
+    """As a part of an address: a space is %20, not the plus sign of forms."""
+    out = F.url_encode(c)
+    for written, kept in KEPT_SIGNS.items():
+        out = F.replace(out, F.lit(written), F.lit(kept))
+    return out
+
+
+def from_uri_component(c: Column) -> Column:
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))

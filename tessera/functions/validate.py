@@ -17,6 +17,27 @@ AVATAR = {
 }
 AVATAR_DEFAULT = {"body": "neutral", "hair": "short", "face": "chill", "top": "tee", "prop": None, "bg": None, "palette": "pastel"}
 NULLABLE = ("prop", "bg")
+#: Name, label and the avatar fields of the presets.
+PRESETS = (
+    ("musk", "马斯克", "male", "short", "serious", "tee", "rocket", "studio", "cool"),
+    ("jobs", "乔布斯", "male", "bald", "serious", "turtleneck", "iphone", "studio", "mono"),
+    ("jordan", "乔丹", "male", "buzz", "serious", "jersey", "basketball", "street", "warm"),
+    ("hemingway", "海明威", "male", "short", "serious", "shirt", "typewriter", "cafe", "warm"),
+    ("curie", "居里夫人", "female", "bun", "serious", "dress", "flask", "library", "cool"),
+    ("wxl", "王心凌", "female", "wave", "smile", "dress", "mic", "studio", "pastel"),
+)
+#: The colours of each palette, in the order of its parts.
+PALETTE_PARTS = ("skin", "hair", "hairShade", "top", "topShade", "prop", "bg", "outline")
+PALETTES = {
+    "warm": ("#F5C09F", "#5C3A1E", "#3A2611", "#E8745C", "#A04A38", "#F5D14A", "#FFF1E0", "#1F1F1F"),
+    "cool": ("#E8C39E", "#2A3F66", "#1A2440", "#5C7AB4", "#384C73", "#A4D4E6", "#E8F0FA", "#1F1F1F"),
+    "pastel": ("#F5D5C0", "#A47AAA", "#73557D", "#F5B5C8", "#C97C99", "#C9E5C0", "#FFF8E7", "#1F1F1F"),
+    "mono": ("#D4D4D4", "#2A2A2A", "#0F0F0F", "#1F1F1F", "#0A0A0A", "#999999", "#F0F0F0", "#1F1F1F"),
+    "earth": ("#C9A37A", "#4A3320", "#2D1F12", "#7A6440", "#4D3F26", "#A88555", "#E5DCC8", "#1F1F1F"),
+    "candy": ("#FFD5C0", "#FF6B9E", "#A8447E", "#A4D8E5", "#5E8FA0", "#FFE066", "#FFF0F8", "#1F1F1F"),
+    "forest": ("#D5B585", "#3D5226", "#243515", "#7A9E5C", "#4D6F35", "#C4A455", "#E5EFD5", "#1F1F1F"),
+    "sunset": ("#F5C09F", "#A04A38", "#6B2A1E", "#FFA055", "#B86A2E", "#FF6B9E", "#FFE0CC", "#1F1F1F"),
+}
 
 
 def field(doc: Column, name: str) -> Column:

@@ -12,11 +12,22 @@ from tessera.functions.arrays import first, joined_or, shared_items
 MOST_USERS = 1000
 
 
-def matched_pairs(matches: DataFrame, users: list[int]) -> DataFrame:
-    """(user, other, scene) for matches of these users in either direction."""
-    a = matches.filter(F.col("userIdA").isin(users)).select(F.col("userIdA").alias("user"), F.col("userIdB").alias("other"), "scene")
-    b = matches.filter(F.col("userIdB").isin(users)).select(F.col("userIdB").alias("user"), F.col("userIdA").alias("other"), "scene")
-    return a.unionByName(b)
+def matched_pairs(matches: DataFrame, who: Column) -> DataFrame:
+    """(user, other, scene) for matches in either direction of the users that ``who``, a condition on userId, names."""
+    a = matches.select(F.col("userIdA").alias("userId"), F.col("userIdB").alias("other"), "scene")
+    b = matches.select(F.col("userIdB").alias("userId"), F.col("userIdA").alias("other"), "scene")
+    return a.unionByName(b).filter(who).withColumnRenamed("userId", "user")
+
+
+def _scored(profiles: DataFrame, matches: DataFrame, who: Column, noise: Column | None, scenes) -> DataFrame:
+    cols = ["userId", "interests", "availability", "socialGoal", "vals", "communicationStyle", "relationshipPace", "preferredScenes"]
+    mine = profiles.filter(who).select(F.struct(*cols).alias("a"))
+    df = profiles.select(F.struct(*cols).alias("b")).join(F.broadcast(mine), F.col("a.userId") != F.col("b.userId"))
+    df = df.withColumn("scene", F.explode(F.array(*map(F.lit, scenes))))
+    df = df.select(F.col("a.userId").alias("user"), F.col("b.userId").alias("other"), "scene", "a", "b")
+    s = scoring.score(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), F.col("scene"), noise)
+    df = df.withColumn("score", s).filter(F.col("score") >= scoring.THRESHOLD)
+    return df.join(matched_pairs(matches, who), ["user", "other", "scene"], "left_anti")
 
 
 def candidates(profiles: DataFrame, matches: DataFrame, users: list[int], noise: Column | None = None, scenes=scoring.SCENES) -> DataFrame:
@@ -28,14 +39,25 @@ def candidates(profiles: DataFrame, matches: DataFrame, users: list[int], noise:
     """
     if len(users) > MOST_USERS:
         raise ValueError(f"at most {MOST_USERS} users in a call")
-    cols = ["userId", "interests", "availability", "socialGoal", "vals", "communicationStyle", "relationshipPace", "preferredScenes"]
-    mine = profiles.filter(F.col("userId").isin(users)).select(F.struct(*cols).alias("a"))
-    df = profiles.select(F.struct(*cols).alias("b")).join(F.broadcast(mine), F.col("a.userId") != F.col("b.userId"))
-    df = df.withColumn("scene", F.explode(F.array(*map(F.lit, scenes))))
-    df = df.select(F.col("a.userId").alias("user"), F.col("b.userId").alias("other"), "scene", "a", "b")
-    s = scoring.score(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), F.col("scene"), noise)
-    df = df.withColumn("score", s).filter(F.col("score") >= scoring.THRESHOLD)
-    return df.join(matched_pairs(matches, users), ["user", "other", "scene"], "left_anti")
+    return _scored(profiles, matches, F.col("userId").isin(users), noise, scenes)
+
+
+def candidates_in_blocks(profiles: DataFrame, matches: DataFrame, who: Column, noise: Column | None = None, scenes=scoring.SCENES) -> DataFrame:
+    """The same for all users that ``who``, a condition on userId, names, however many.
+
+    They are dealt by a hash into blocks whose largest has at most MOST_USERS rows, which
+    is counted, and each block is broadcast and scans the profiles once.
+    """
+    asked = profiles.filter(who)
+    block = lambda n: F.pmod(F.xxhash64("userId"), F.lit(n))
+    n = max(1, -(-asked.count() // (MOST_USERS // 2)))
+    while n > 1 and asked.groupBy(block(n)).count().agg(F.max("count")).first()[0] > MOST_USERS:
+        n *= 2
+    parts = [_scored(profiles, matches, who & (block(n) == i), noise, scenes) for i in range(n)]
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 #: Names of scenes in sentences.

@@ -16,6 +16,9 @@ HEAD = ("# 数字人 SKILL.md", "", "> 该文件是用户数字人的 system pro
 LIMITS = ("- 未经用户确认,不代用户向真人发送任何消息", "- 不假装是真人,不编造用户经历或情绪", "- 不泄露 privateFields 中的字段给对方数字人", "- 不诱导用户越过对方边界", "- 不替用户做重大关系决定")
 SEP = "、"
 
+#: Fixed value: what is said when a match has no sentence of its own.
+HELLO = "你好，很高兴认识你！"
+
 
 def label(c: str, names: dict[str, str]) -> Column:
     pairs = [F.lit(x) for kv in names.items() for x in kv]

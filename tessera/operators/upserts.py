@@ -20,6 +20,26 @@ def patched(table: DataFrame, changes: DataFrame, key: str, fields: list[str]) -
     return df.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns])
 
 
+def overwritten(table: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """A change's fields hold as they are, null or empty too."""
+    new = changes.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_new_{f}") for f in fields])
+    df = table.join(new, table[key] == new["_k"], "left")
+    return df.select(*[F.when(F.col("_k").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in table.columns])
+
+
+def upsert_profiles(table: DataFrame, requests: DataFrame, fields: list[str], now_ms: int) -> DataFrame:
+    """By userId: all fields of a request replace those of the profile, or make a new one; ``updatedAt`` is the time of it."""
+    new = requests.select(F.col("userId").alias("_u"), *[F.col(f).alias(f"_new_{f}") for f in fields])
+    df = table.join(new, table["userId"] == new["_u"], "full")
+    asked = F.col("_u").isNotNull()
+    return df.select(
+        F.coalesce("userId", "_u").alias("userId"),
+        *[F.when(asked, F.col(f"_new_{f}")).otherwise(F.col(f)).alias(f) for f in fields],
+        F.when(asked, F.lit(now_ms).cast("long")).otherwise(F.col("updatedAt")).alias("updatedAt"),
+        F.col("userId").isNull().alias("inserted"),
+    )
+
+
 def without_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(F.col(key)), key, "left_anti")
 
@@ -71,6 +91,14 @@ def migration_backfill(profiles: DataFrame, questionnaires: DataFrame) -> DataFr
     return once.join(have, "userId", "left_anti")
 
 
+def check_migration(counts: DataFrame) -> dict:
+    """The counters of a migration; raises unless what was done and what was skipped make up the whole."""
+    got = counts.first().asDict()
+    if got["qInserted"] + got["qSkipped"] != got["qTotalSource"] or got["dhPatched"] + got["dhSkipped"] != got["dhTotal"]:
+        raise ValueError(f"counts don't balance: {got}")
+    return got
+
+
 def daily_quota(requests: DataFrame, limit: int) -> DataFrame:
     """Each request's running count per user and UTC day, and whether it is allowed; refused ones don't count."""
     day = Window.partitionBy("userId", "day").orderBy("ms", "_id")

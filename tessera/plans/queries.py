@@ -80,7 +80,7 @@ def mode_row_lookup(t: Tables) -> DataFrame:
     return L.first_per(rows, "userId").select("_id", "userId", "mode", "cardText")
 
 
-@query()
+@query("SELECT userId, 'ok' AS guard FROM profiles")
 def unique_guard(t: Tables) -> DataFrame:
     return L.unique_guard(t.profiles.select("userId", "socialEnergy"), "userId").select("userId", "guard")
 
@@ -149,14 +149,14 @@ def shared_items(t: Tables) -> DataFrame:
 
 @query(f'SELECT DISTINCT "user", other, scene FROM (SELECT userIdA AS "user", userIdB AS other, scene FROM matches UNION ALL SELECT userIdB, userIdA, scene FROM matches) WHERE "user" IN {tuple(USERS)}')
 def matched_user_ids(t: Tables) -> DataFrame:
-    return M.matched_pairs(t.matches, USERS).distinct()
+    return M.matched_pairs(t.matches, F.col("userId").isin(USERS)).distinct()
 
 
 @query(f"""SELECT p.userId AS other, scene FROM profiles p, (VALUES ('study'), ('food'), ('romance')) AS s(scene) WHERE p.userId <> {ME} AND NOT EXISTS
  (SELECT 1 FROM matches m WHERE m.scene = s.scene AND ((m.userIdA = {ME} AND m.userIdB = p.userId) OR (m.userIdB = {ME} AND m.userIdA = p.userId)))""")
 def unmatched_candidates(t: Tables) -> DataFrame:
     df = t.profiles.filter(F.col("userId") != ME).select(F.col("userId").alias("other"), F.explode(F.array(*map(F.lit, M.scoring.SCENES))).alias("scene"))
-    return df.join(M.matched_pairs(t.matches, [ME]).drop("user"), ["other", "scene"], "left_anti")
+    return df.join(M.matched_pairs(t.matches, F.col("userId") == ME).drop("user"), ["other", "scene"], "left_anti")
 
 
 @query(f"SELECT \"user\", string_agg(scene, ',' ORDER BY CASE scene WHEN 'study' THEN 0 WHEN 'food' THEN 1 ELSE 2 END) AS scenes, CAST(sum(n) AS BIGINT) AS created FROM (SELECT \"user\", scene, count(*) AS n FROM ({_CANDIDATES}) GROUP BY ALL) GROUP BY \"user\"")
@@ -496,7 +496,7 @@ def reset_user_rows(t: Tables) -> DataFrame:
     return U.without_keys(t.twins, t.users.filter("_id % 10 = 3").select(F.col("_id").alias("userId")), "userId").select("_id", "userId", "mode")
 
 
-_REQUESTS = "SELECT o_orderkey + 10000000 AS _id, CASE WHEN o_orderkey % 4 = 0 THEN ' USER' || CAST(o_custkey AS STRING) || '@mit.edu' WHEN o_orderkey % 4 = 1 THEN 'new' || CAST(o_custkey % 50 AS STRING) || '@PKU.edu.cn ' WHEN o_orderkey % 4 = 2 THEN 'nobody' ELSE 'x' || CAST(o_orderkey AS STRING) || '@mail.com' END AS email, 'n' AS nickname, 's' AS school FROM {orders} WHERE o_orderkey % 20 < 4"
+_REQUESTS = "SELECT o_orderkey + 10000000 AS _id, CASE WHEN o_orderkey % 4 = 0 THEN ' USER' || CAST(o_custkey AS STRING) || '@mit.edu' WHEN o_orderkey % 4 = 1 THEN 'new' || CAST(o_custkey % 50 AS STRING) || '@PKU.edu.cn ' WHEN o_orderkey % 4 = 2 THEN 'nobody' ELSE 'x' || CAST(o_orderkey AS STRING) || '@mail.com' END AS email, 'n' AS nickname, 's' AS school FROM {orders}"
 
 
 @query(f"""SELECT _id, mail AS email, nickname, school, origin, CASE WHEN {_STUDENT} THEN 'verified' ELSE 'pending' END AS verifiedStatus FROM (
@@ -634,6 +634,14 @@ def message_suggestion(t: Tables) -> DataFrame:
     return t.turns.select("chatId").distinct().select("chatId", F.get(F.array(*map(F.lit, NEXT_SENTENCES)), (F.col("chatId") % 4).cast("int")).alias("suggestion"))
 
 
+@query(f"SELECT _id, CASE WHEN n > 0 THEN pool[1 + _id % n] ELSE '{R.HELLO}' END AS suggestion FROM (SELECT _id, pool, len(pool) AS n FROM (SELECT _id, CASE WHEN json_valid(doc) AND json_type(doc) = 'OBJECT' AND json_type(doc, '$.icebreakers') = 'ARRAY' THEN json_extract_string(doc, '$.icebreakers[*]') END AS pool FROM payloads))")
+def icebreaker_suggestion(t: Tables) -> DataFrame:
+    """One of a match's own sentences, or the fixed one if it has none. The pick is by id instead of at random."""
+    pool = F.when(V.is_list(F.col("doc"), "icebreakers"), F.try_variant_get("doc", "$.icebreakers", "array<string>"))
+    n = F.greatest(F.size(pool), F.lit(1))
+    return docs(t).select("_id", F.coalesce(F.get(pool, (F.col("_id") % n).cast("int")), F.lit(R.HELLO)).alias("suggestion"))
+
+
 # JSON
 
 _LISTS = ("sharedTopics", "complementarities", "risks", "icebreakers")
@@ -684,3 +692,106 @@ def best_candidate(t: Tables) -> DataFrame:
     df = t.profiles.select("userId", F.posexplode(F.array(u % 40, u * 3 % 40, u * 7 % 40, u % 40)).alias("ord", "score"))
     df = df.withColumn("ord", F.col("ord").cast("long")).filter((F.col("ord") == 0) | ((u + F.col("ord")) % 5 != 0))
     return df.groupBy("userId").agg(F.max_by("ord", F.struct("score", -F.col("ord"))).alias("winner"), F.max("score").alias("darwinScore"), F.count(F.lit(1)).alias("darwinIterations"))
+
+
+#: JSON of twins as a model may return it: whole, with empty fields, without fields, not an object, broken.
+_TWIN_DOC = """CASE _id % 5 WHEN 0 THEN '{"cardText":"' || cardText || '","mentalModels":["m' || CAST(version AS STRING) || '","n"],"decisionHeuristics":["h"],"expressionPatterns":[],"systemPrompt":"p"}'
+ WHEN 1 THEN '{"cardText":"","mentalModels":[],"systemPrompt":""}' WHEN 2 THEN '{"cardText":"' || cardText || '"}' WHEN 3 THEN '[]' ELSE '{"cardText":"cut off' END"""
+_JTEXT = "CASE WHEN json_type(doc, '$.{0}') = 'VARCHAR' AND json_extract_string(doc, '$.{0}') <> '' THEN json_extract_string(doc, '$.{0}') END"
+_JLIST = "CASE WHEN json_type(doc, '$.{0}') = 'ARRAY' AND json_array_length(doc, '$.{0}') > 0 THEN array_to_string(json_extract_string(doc, '$.{0}[*]'), '|') ELSE '{1}' END"
+
+
+@query(f"""SELECT _id, ok, CASE WHEN ok THEN coalesce(card, mode || ' 模式数字人') END AS cardText, CASE WHEN ok THEN {_JLIST.format('mentalModels', '待补充')} END AS mentalModels,
+ CASE WHEN ok THEN {_JLIST.format('decisionHeuristics', '')} END AS decisionHeuristics, CASE WHEN ok THEN coalesce({_JTEXT.format('systemPrompt')}, card, mode || ' 模式 system prompt') END AS systemPrompt
+ FROM (SELECT *, {_JTEXT.format('cardText')} AS card FROM (SELECT _id, mode, raw IS NOT NULL AND json_valid(raw) AS ok, CASE WHEN json_valid(raw) THEN raw ELSE '{{}}' END AS doc FROM (SELECT _id, coalesce(mode, 'friend') AS mode, {_TWIN_DOC.replace('STRING', 'VARCHAR')} AS raw FROM twins)))""")
+def twin_payload_defaults(t: Tables) -> DataFrame:
+    """What a model returned, with a default for each field that is missing or empty; what isn't JSON has none."""
+    df = t.twins.selectExpr("_id", "coalesce(mode, 'friend') AS mode", f"{_TWIN_DOC} AS raw").select("_id", "mode", F.try_parse_json("raw").alias("doc"))
+    d, mode, ok = F.col("doc"), F.col("mode"), F.col("doc").isNotNull()
+    card = T.or_default(V.text(d, "cardText"), F.lit(None).cast("string"))
+
+    def items(name: str, none: str) -> Column:
+        found = F.when(V.is_list(d, name), F.try_variant_get(d, f"$.{name}", "array<string>"))
+        return F.when(F.size(found) > 0, F.array_join(found, "|")).otherwise(F.lit(none))
+
+    return df.select(
+        "_id",
+        ok.alias("ok"),
+        F.when(ok, F.coalesce(card, F.concat(mode, F.lit(" 模式数字人")))).alias("cardText"),
+        F.when(ok, items("mentalModels", "待补充")).alias("mentalModels"),
+        F.when(ok, items("decisionHeuristics", "")).alias("decisionHeuristics"),
+        F.when(ok, T.or_default(V.text(d, "systemPrompt"), F.coalesce(card, F.concat(mode, F.lit(" 模式 system prompt"))))).alias("systemPrompt"),
+    )
+
+
+_TEMPLATE = "Profile: {{PROFILE_JSON}} (not again: {{PROFILE_JSON}})"
+
+
+@query(f"""SELECT userId, replace('{_TEMPLATE}', '{{{{PROFILE_JSON}}}} (', CAST(to_json({{'communicationStyle': communicationStyle, 'interests': interests, 'relationshipPace': relationshipPace}}) AS VARCHAR) || ' (') AS prompt FROM profiles""")
+def profile_prompt(t: Tables) -> DataFrame:
+    """A profile as JSON at the first placeholder of a prompt."""
+    profile = F.to_json(F.struct("communicationStyle", "interests", "relationshipPace"))
+    return t.profiles.select("userId", T.replace_first(F.lit(_TEMPLATE), "{{PROFILE_JSON}}", profile).alias("prompt"))
+
+
+_LONG = "(body || repeat('x', CAST(chatId % 600 AS INTEGER)))"
+
+
+@query(f"SELECT _id, length({_LONG}) <= 30 AS fits_other, length({_LONG}) <= 100 AS fits_answer, length({_LONG}) <= 500 AS fits_message FROM messages")
+def length_caps(t: Tables) -> DataFrame:
+    c = F.expr(_LONG)
+    return t.messages.select("_id", *[T.fits(c, kind).alias(f"fits_{kind}") for kind in T.MOST_CHARS])
+
+
+@query("SELECT m._id, CASE WHEN length(u.nickname) > 0 THEN substr(u.nickname, 1, 1) ELSE '?' END AS initial, strftime(make_timestamp((m.createdAt + 28800000) * 1000), '%H:%M') AS at FROM matches m LEFT JOIN users u ON u._id = m.userIdB")
+def match_row_labels(t: Tables) -> DataFrame:
+    """The letter in the other's picture, and the time of day in the reader's zone."""
+    who = t.users.select(F.col("_id").alias("_u"), "nickname")
+    df = t.matches.join(who, F.col("userIdB") == F.col("_u"), "left")
+    return df.select("_id", T.initial(F.col("nickname")).alias("initial"), T.local_time(F.col("createdAt"), "Asia/Shanghai").alias("at"))
+
+
+_SAID = "(body || ' !~*()+&=?/' || chr(39) || CAST(chatId AS STRING))"
+
+
+@query(f"SELECT _id, replace(replace(replace(replace(replace(url_encode(said), '%21', '!'), '%2A', '*'), '%28', '('), '%29', ')'), '%27', chr(39)) AS param, said AS decoded FROM (SELECT _id, {_SAID.replace('STRING', 'VARCHAR')} AS said FROM messages)")
+def uri_parameter(t: Tables) -> DataFrame:
+    """A sentence as a part of an address, and read back from there."""
+    param = T.uri_component(F.expr(_SAID))
+    return t.messages.select("_id", param.alias("param"), T.from_uri_component(param).alias("decoded"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in V.PRESETS) + f") AS p(name, label, {', '.join(V.AVATAR)})")
+def avatar_presets(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(list(V.PRESETS), "name string, label string, " + ", ".join(f"{c} string" for c in V.AVATAR))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in (name, *row)) + ")" for name, row in V.PALETTES.items()) + f") AS p(name, {', '.join(V.PALETTE_PARTS)})")
+def palettes(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(name, *row) for name, row in V.PALETTES.items()], "name string, " + ", ".join(f"{c} string" for c in V.PALETTE_PARTS))
+
+
+@query("SELECT CASE WHEN EXISTS (SELECT 1 FROM users) THEN 'already_seeded' ELSE 'seeded' END AS status")
+def seed_guard(t: Tables) -> DataFrame:
+    """Seeds are only inserted into an empty table; one row of it tells."""
+    return t.users.limit(1).agg(F.when(F.count(F.lit(1)) > 0, "already_seeded").otherwise("seeded").alias("status"))
+
+
+@query(f"""SELECT coalesce(p.userId, r.userId) AS userId, CASE WHEN r.userId IS NULL THEN socialEnergy ELSE 'extrovert' END AS socialEnergy, CASE WHEN r.userId IS NULL THEN array_to_string(interests, ',') ELSE 'new' END AS interests,
+ CASE WHEN r.userId IS NULL THEN NULL ELSE {NOW} END AS updatedAt, p.userId IS NULL AS inserted FROM profiles p FULL JOIN (SELECT _id AS userId FROM users WHERE _id % 2 = 0) r ON r.userId = p.userId""")
+def upsert_profiles(t: Tables) -> DataFrame:
+    requests = t.users.filter("_id % 2 = 0").select(F.col("_id").alias("userId"), F.lit("extrovert").alias("socialEnergy"), F.array(F.lit("new")).alias("interests"))
+    table = t.profiles.select("userId", "socialEnergy", "interests", F.lit(None).cast("long").alias("updatedAt"))
+    return U.upsert_profiles(table, requests, ["socialEnergy", "interests"], NOW).select("userId", "socialEnergy", joined("interests"), "updatedAt", "inserted")
+
+
+@query("SELECT _id, CASE WHEN _id % 3 = 0 THEN 'peach' ELSE vibePalette END AS vibePalette, CASE WHEN _id % 3 = 0 THEN '' ELSE array_to_string(vibeKeywords, ',') END AS vibeKeywords FROM users")
+def vibe_overwrite(t: Tables) -> DataFrame:
+    changes = t.users.filter("_id % 3 = 0").select("_id", F.lit("peach").alias("vibePalette"), F.array().cast("array<string>").alias("vibeKeywords"))
+    return U.overwritten(t.users, changes, "_id", ["vibePalette", "vibeKeywords"]).select("_id", "vibePalette", joined("vibeKeywords"))
+
+
+@query(f"""SELECT "user", other, scene, score FROM ({_CANDIDATES.replace(f"a.userId IN {tuple(USERS)}", "a.userId % 100 = 0")})""")
+def match_candidates_hundredth(t: Tables) -> DataFrame:
+    """Every user whose id is divisible by 100 against all profiles, in blocks of users."""
+    return M.candidates_in_blocks(t.profiles, t.matches, F.col("userId") % 100 == 0, noise()).select("user", "other", "scene", "score")

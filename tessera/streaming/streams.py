@@ -5,9 +5,12 @@ Both have the results of their batch counterparts, which stay the reference.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions.text import DAY_MS, utc_day
@@ -41,3 +44,24 @@ def daily_quota(requests: DataFrame, limit: int, lateness: str = "1 hour") -> Da
 
     df = requests.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", lateness).withColumn("day", utc_day(F.col("ms")))
     return df.groupBy("userId", "day").applyInPandasWithState(count, QUOTA_SCHEMA, "n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def live_view(changes: DataFrame, view: Callable[[SparkSession], DataFrame | None], show: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """A view that is worked out anew whenever ``changes`` has rows, from the tables as they are then.
+
+    ``view`` returns None where an argument is missing; such a view isn't worked out.
+    A batch that comes again shows the same view again, so ``show`` should overwrite.
+    """
+
+    def again(batch: DataFrame, number: int) -> None:
+        df = None if batch.isEmpty() else view(batch.sparkSession)
+        if df is not None:
+            show(df, number)
+
+    return changes.writeStream.foreachBatch(again)
+
+
+def progress(query: StreamingQuery) -> dict:
+    """Batches and rows so far and whether the query still runs, for a column that is polled."""
+    reports = query.recentProgress
+    return {"batches": len(reports), "rows": sum(int(r["numInputRows"]) for r in reports), "running": query.isActive}

@@ -37,3 +37,21 @@ def test_daily_quota_across_batches(spark, sf, tmp_path):
     got = run(streams.daily_quota(stream, 3, "40 days"), "quota", "append", str(tmp_path / "c"))
     want = U.daily_quota(requests, 3).select("_id", "userId", "day", "ok", "count")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_live_view_and_progress(spark, sf, tmp_path):
+    turns = Tables(spark, sf).turns.cache()
+    parts(turns, 3, ["_creationTime"], str(tmp_path / "in"))
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    shown = []
+    view = lambda s: s.read.schema(turns.schema).parquet(str(tmp_path / "in")).groupBy("chatId").count()
+    q = streams.live_view(stream, view, lambda df, n: shown.append((n, df.count()))).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    got = streams.progress(q)
+    q.stop()
+    assert shown == [(i, turns.select("chatId").distinct().count()) for i in range(3)]
+    assert got["rows"] == turns.count() and got["running"] and not streams.progress(q)["running"]
+    q = streams.live_view(stream, lambda s: None, lambda df, n: shown.append(None)).option("checkpointLocation", str(tmp_path / "d")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert None not in shown
