@@ -16,8 +16,9 @@ Base phrases are found at every place where their words stand consecutively.
 stands, else 0.
 
 Defined cases: null and empty texts have no words, null first and last word, no
-labels and score 0; repeated rows
-are scanned each by itself; an empty table gives an empty result. Columns beside
+labels and score 0; very long texts are scanned whole; null ids are kept as they are;
+repeated rows are scanned each by itself; of equally rare words the one of the smaller
+number goes first, which changes no result; an empty table gives an empty result. Columns beside
 doc_id and text aren't read.
 """
 

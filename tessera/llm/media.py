@@ -8,7 +8,8 @@ types. The feature is a 64-bit hash: the image averaged to 24 x 24, the signs of
 its 8 x 8 lowest cosine frequencies against their median (the mean left out).
 
 Defined cases: null and empty texts give one block of 576 bytes of 255 (all
-coefficients 0: the hash is 0); equal texts give equal values; an image of any
+coefficients 0: the hash is 0); equal texts give equal values, whatever their ids; null ids
+are kept as they are; an image of any
 height is handled as a whole; damage raises ``ValueError``; empty tables give
 empty results. Columns beside doc_id and text aren't read.
 """

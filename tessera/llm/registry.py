@@ -9,42 +9,52 @@ from tessera.llm.common import table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's size and target and the words that the mix takes. Nulls, empty texts, ties and repeated rows: see ``mixing``."""
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the archives give it back. Null payloads are empty, repeated rows are records of their own: see ``warc``."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what repeats cut out of its bytes. Null texts are empty, rows of one id go by text: see ``suffix``."""
     return suffix.removals(table(spark, sf_dir, "documents"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the rule that decides. Null URLs have empty hosts; equally long rules go by action, then string: see ``urls``."""
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the places and labels of licences. Null texts have no words: see ``licences``."""
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group. Texts without words link with nothing, null ids come last: see ``near``."""
     return near.classes(table(spark, sf_dir, "documents"), near.Near(shingle=3, percent=85, bands=36, rows=7))
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with digests of its ids and of what they decode to. Null texts have no ids: see ``bpe``."""
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its stored image and the features read back. Null texts are empty: see ``media``."""
     return media.stored_features(table(spark, sf_dir, "documents"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the losses of both models. Texts without words have null losses: see ``wordscores``."""
     return wordscores.difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts and verdicts. Null texts have no words, strata without labels no cutoff: see ``quality``."""
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

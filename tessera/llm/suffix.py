@@ -22,7 +22,8 @@ Windows are judged on the input, not on what is left.
    one row per shard.
 
 Defined cases: null and empty texts have nothing to remove, nor have texts
-shorter than LENGTH; null ids come last; rows of one id are ordered by text, equal
+shorter than LENGTH; very long texts are one row and their passages are dealt to shards like
+others'; null ids come last; rows of one id are ordered by text, equal
 rows being copies like others; an empty table gives an empty result. In
 ``cleaned`` characters that lose only some of their bytes stay, so that texts
 stay valid. Columns of other names can't clash: they travel in one struct.

@@ -8,7 +8,7 @@ revisits that name it. Archives are rows of a binary column (``archive``,
 most ``ARCHIVE_BYTES`` of records, or a single larger one.
 
 Defined cases: a null payload is an empty one; a null page_id is smaller than any
-other; rows that are equal in page_id and payload are all responses if one of
+other; very large payloads are a record of their own archive; rows that are equal in page_id and payload are all responses if one of
 them would be; a null url has no WARC-Target-URI; white space and control
 characters in a url are percent-encoded; empty tables give empty results.
 Columns beside page_id, url and html aren't read.

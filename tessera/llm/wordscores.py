@@ -15,8 +15,9 @@ space that it falls into; blocks sum the counts of all chunks and send them back
 a frequent pair costs a block one entry per chunk, and only the totals of words and
 vocabulary reach the driver. Words and pairs are named by 64-bit hashes.
 
-Defined cases: texts without words have 0 tokens and null losses; repeated rows count
-as often as they stand there; without target documents the target's model is uniform;
+Defined cases: null texts and texts without words have 0 tokens and null losses; very
+long texts are a chunk of their own; rows with a null id are scored and belong to no
+target; equal texts have equal scores; repeated rows count as often as they stand there; without target documents the target's model is uniform;
 an empty table gives an empty result. Columns beside doc_id and text aren't read.
 """
 
