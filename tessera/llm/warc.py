@@ -25,13 +25,15 @@ import uuid
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shelve, small_batches
 
 #: Fixed value: the magic number of the skippable frame that holds a dictionary.
 DICT_MAGIC = 0x184D2A5D
+#: Fixed value: a skippable frame without content.
+TRAILER = "P*M\x18\0\0\0\0"
 ARCHIVE_BYTES = 8 << 20
 DICT_BYTES = 64 << 10
 #: Records from which a dictionary is trained: about this many bytes, spread over the archive.
@@ -179,13 +181,17 @@ def round_trip(pages: DataFrame) -> DataFrame:
     return read_index(shelve(archives(pages))).drop("uri")
 
 
-def write_files(table: DataFrame, folder: str) -> list[str]:
-    """Writes each archive as a file below ``folder``, a path that the driver can write to; archives come one at a time."""
-    import os
+def write_files(table: DataFrame, folder: str) -> None:
+    """Writes each archive as a file below ``folder``, from the executors and in any store that Spark writes to.
 
-    names = []
-    for row in table.toLocalIterator():
-        names.append(os.path.join(folder, row["archive"]))
-        with open(names[-1], "wb") as f:
-            f.write(row["data"])
-    return names
+    Spark's text writer puts the bytes down as they are, one row a file, and commits
+    them as it does any table, so lost executors leave no halves. It names the files,
+    and ends each with a separator: here an empty skippable frame, which readers pass over.
+    """
+    table.select(F.col("data").cast("string").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).option("lineSep", TRAILER).text(folder)
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per record of the files below ``folder``. Without a count of records, a frame that is missing at the end isn't noticed."""
+    found = spark.read.format("binaryFile").load(folder)
+    return read_index(found.select(F.col("content").alias("data"), F.lit(None).cast("long").alias("n_records")))

@@ -113,9 +113,14 @@ def test_warc(odd_pages, spark, sf):
 def test_archive_format(tmp_path, odd_pages):
     import zstandard
 
-    table = warc.archives(odd_pages)
-    for name in warc.write_files(table, str(tmp_path)):
-        data = open(name, "rb").read()
+    table = common.shelve(warc.archives(odd_pages))
+    warc.write_files(table, f"{tmp_path}/archives")
+    files = sorted((tmp_path / "archives").glob("part-*"))
+    assert len(files) == table.count() > 0
+    back = warc.read_files(table.sparkSession, f"{tmp_path}/archives")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, warc.read_index(table).collect()))
+    for name in files:
+        data = name.read_bytes()
         assert data[:4] == (0x184D2A5D).to_bytes(4, "little")
         n = int.from_bytes(data[4:8], "little")
         first = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n])).decompressobj().decompress(data[8 + n :])
