@@ -63,6 +63,32 @@ QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_round_trip, op3_suf
 _URL_VALUES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in urls.RULES)
 
 SQL = {
+    # Base32 takes 20 bits, five hex digits, at a time.
+    "op2_warc_round_trip": r"""
+WITH b AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
+k AS (SELECT x, max(page_id) AS keeper, count(*) AS copies FROM b GROUP BY x),
+d AS (SELECT x, string_agg(list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((bits >> s) & 31)::INT + 1, 1)), 'string_agg', ''), '' ORDER BY i) AS digest
+      FROM (SELECT x, i, ('0x' || substr(x, 5 * i + 1, 5))::BIGINT AS bits FROM (SELECT x, unnest(range(0, 8)) AS i FROM k)) GROUP BY x)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN copies = 1 OR page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN copies = 1 OR page_id IS NOT DISTINCT FROM keeper THEN NULL ELSE keeper END AS refers_to
+FROM b JOIN k ON k.x = b.x JOIN d ON d.x = b.x
+""",
+    # Texts stand as hex digits, so that a byte is two characters, and are read in chunks of 256 windows. A run is a stretch of repeated windows that touch.
+    "op3_suffix_dedup": rf"""
+WITH t AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, coalesce(text, '')) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, b, substr(h, 2 * b + 1, {2 * (256 + suffix.LENGTH - 1)}) AS c FROM (SELECT r, h, unnest(range(0, length(h) // 2 - {suffix.LENGTH - 1}, 256)) AS b FROM t WHERE length(h) >= {2 * suffix.LENGTH})),
+p AS (SELECT r, b + i AS p, substr(c, 2 * i + 1, {2 * suffix.LENGTH}) AS v FROM (SELECT r, b, c, unnest(range(0, length(c) // 2 - {suffix.LENGTH - 1})) AS i FROM c)),
+least AS (SELECT v, min({{'r': r, 'p': p}}) AS m FROM p GROUP BY v HAVING count(*) > 1),
+again AS (SELECT r, p FROM p JOIN least ON p.v = least.v WHERE (r, p) <> (m.r, m.p)),
+mark AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + {suffix.LENGTH}, true)::INT AS new FROM again),
+run AS (SELECT r, min(p) AS s, max(p) + {suffix.LENGTH} AS e FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM mark) GROUP BY r, g),
+gap AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS b FROM run),
+cut AS (SELECT t.r, sum(e - s) AS gone, count(*) AS n, max(e) AS last, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS kept FROM gap JOIN t ON t.r = gap.r GROUP BY t.r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN cut ON cut.r = t.r
+""",
     "op6_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, v FROM (
