@@ -217,6 +217,24 @@ def test_licence_templates(spark):
     assert [got[i] for i in range(len(texts))] == list(texts)
 
 
+def test_licence_paragraphs(spark):
+    """Headers as files have them, with punctuation, line ends and one word of another kind."""
+    gpl = "This file is part of X.\n\n * X is free software: you can redistribute it and/or modify\n * it under the terms of the GNU %s License as published by\n * the Free Software Foundation, either version %s of the License, or\n * (at your option) any later version."
+    texts = {
+        "agpl-3.0,gpl": gpl % ("Affero General Public", 3),
+        "gpl,gpl-2.0": gpl % ("General Public", 2),
+        "gpl,gpl-3.0": gpl % ("General Public", 3),
+        "gpl,lgpl": gpl % ("Lesser General Public", "2.1"),
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the preceding copyright notice and this permission notice appear in all copies.",
+        "mit": "The above copyright notice and this permission notice shall be included in\nall copies or substantial portions of the program.",
+        "apache-2.0": 'you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n',
+        "": "You may obtain a copy of the software, and use it for any purpose with or without fee, at your option.",
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licences.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts)
+
+
 def test_licences_of_files_with_many_notices(spark):
     """Each notice counts, whatever else the file holds."""
     own = {0: "apache-2.0", 1: "mit", 2: "mit", 3: "bsd", 4: "gpl,gpl-3.0", 6: "lgpl", 8: "cc-by,cc-by-nc", 11: "reserved"}
@@ -243,8 +261,9 @@ def test_licence_alignments_against_all_places():
             if len(index.phrase(at, ids, phrase)):
                 labels, score = labels | {label}, 1.0
         for label, template, keys in index.templates:
-            for start in range(-len(template), len(words)):
-                if all(any(start <= p < start + len(template) for p in index.phrase(at, ids, k)) for k in keys):
+            phrases = [index.phrase(at, ids, k) for k in keys]
+            for start in range(-len(template), len(words)) if all(map(len, phrases)) else ():
+                if all(any(start <= p < start + len(template) for p in found) for found in phrases):
                     got = sum(index.weight[w] for i, w in enumerate(template) if 0 <= start + i < len(words) and words[start + i] == w) / index.weight[template].sum()
                     if abs(got - licences.SHARE) > 1e-9 and got > licences.SHARE:
                         labels, score = labels | {label}, max(score, min(1.0, got))
