@@ -139,13 +139,20 @@ def _anchor_batches(batches):
         yield from flush()
 
 
+def _leading(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on (zeros behind the last), and from the end on, as numbers that sort like them."""
+    key, n = np.concatenate([buf, np.zeros(8, np.uint8)]), 1
+    while n < 8:
+        wide = key.astype(f"u{2 * n}")
+        key = wide[:-n] << wide.dtype.type(8 * n) | wide[n:]
+        n *= 2
+    return key
+
+
 def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by at least their first ``depth`` bytes (by all of them where that decides earlier)."""
     n = len(buf)
-    wide = np.concatenate([buf, np.zeros(8, np.uint8)])
-    key = np.zeros(n, U64)
-    for i in range(8):
-        key = key << U64(8) | wide[i : i + n]
+    key = _leading(buf)[:n]
     sa = np.argsort(key)
     ordered = key[sa]
     new = np.ones(n, bool)
@@ -186,19 +193,21 @@ def common_prefixes(buf: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     phi[sa[1:]] = sa[:-1]
     chain = np.zeros(n, bool)  # p goes on in p + 1
     if n > 1:
-        chain[:-1] = (phi[:-1] >= 0) & (phi[1:] == phi[:-1] + 1) & (buf[np.arange(n - 1)] == buf[phi[:-1]])
-    ends = np.flatnonzero(~chain & (phi >= 0))
-    wide = np.concatenate([buf, np.zeros(cap + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(wide, 8)
+        step = np.flatnonzero((phi[1:] == phi[:-1] + 1) & (phi[:-1] >= 0))
+        chain[step] = buf[step] == buf[phi[step]]
+    live = np.flatnonzero(~chain & (phi >= 0))
+    other, got = phi[live], 0
+    words = _leading(np.concatenate([buf, np.zeros(cap + 8, np.uint8)]))
     length = np.zeros(n, np.int64)
-    live, got = ends, 0
     while len(live) and got < cap:
-        a, b = live + got, phi[live] + got
-        room = np.minimum(8, n - np.maximum(a, b))
-        same = words[np.minimum(a, n)] == words[np.minimum(b, n)]
-        lead = np.minimum(np.where(same.all(axis=1), 8, same.argmin(axis=1)), np.maximum(room, 0))
+        apart = words[live + got] ^ words[other + got]
+        lead = np.zeros(len(live), np.int64)
+        for bits in range(56, -1, -8):
+            lead += apart < U64(1 << bits)
+        lead = np.minimum(lead, np.maximum(n - got - np.maximum(live, other), 0))
         length[live] += lead
-        live = live[lead == 8]
+        on = lead == 8
+        live, other = live[on], other[on]
         got += 8
     # Back from each end along its chain.
     end = np.where(chain, n, np.arange(n))
@@ -368,7 +377,10 @@ def _shard_batches(batches):
 
 def merge(route, k, part, lo, n, kind, second, data: pa.Array):
     """Repeats among the windows of several shards: k, part, lo of each, none of them the earliest of its kind."""
-    out = []
+    # In order of documents and places; so are their windows then, and of equal ones the earliest comes first.
+    rows = np.lexsort((lo, part, k))
+    route, k, part, lo, n, kind, second = (x[rows] for x in (route, k, part, lo, n, kind, second))
+    data = data.take(pa.array(rows))
     ctx = kind == CONTEXT
     cols = []
     if ctx.any():
@@ -382,7 +394,12 @@ def merge(route, k, part, lo, n, kind, second, data: pa.Array):
     if (~ctx).any():
         cols.append((route[~ctx], second[~ctx], k[~ctx], part[~ctx], lo[~ctx]))
     one, two, k, part, lo = (np.concatenate(x) for x in zip(*cols))
-    order = np.lexsort((lo, part, k, two, one))
+    # What is alone with half its digest has no equal.
+    order = np.argsort(one, kind="stable")
+    same = one[order[1:]] == one[order[:-1]]
+    order = order[np.append(same, False) | np.append(False, same)]
+    one, two, k, part, lo = (x[order] for x in (one, two, k, part, lo))
+    order = np.lexsort((two, one))
     so, st = one[order], two[order]
     new = np.ones(len(order), bool)
     new[1:] = (so[1:] != so[:-1]) | (st[1:] != st[:-1])
