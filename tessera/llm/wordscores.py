@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import shelve, small_batches
 from tessera.llm.rawtext import ALNUM, BASE, NOT_SPACE, U64, mix64, span_hashes, text_bytes
-from tessera.llm.scoring import MU, good_ids
 
+MU = 64.0
 CHUNK = 1 << 20
 #: Blocks of the hash space: at least so many, and one for so many words.
 BLOCKS, BLOCK_WORDS = 256, 1 << 22
@@ -219,10 +219,20 @@ def _score_chunk(v: int, n_every: int, n_target: int):
     return run
 
 
+def good_ids(labels: DataFrame) -> DataFrame:
+    """The target: documents labelled good and not toxic."""
+    return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
+
+
 def difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score for each row."""
+    return score(docs, good_ids(labels))
+
+
+def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """The same for any target. ``target_ids`` has doc_id, each once."""
     stored = shelve(chunks(docs))
-    summed = shelve(sums(stored, good_ids(labels)))
+    summed = shelve(sums(stored, target_ids))
     v, n_every, n_target = (x or 0 for x in summed.select("block", "v", "n_every", "n_target").distinct().agg(F.sum("v"), F.sum("n_every"), F.sum("n_target")).first())
     back = summed.select("chunk", "block", "n", "every", "target")
     both = stored.groupBy("chunk").cogroup(back.groupBy("chunk"))

@@ -11,7 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from tessera.llm import bpe, common, graph, licences, media, mixing, near, quality, registry, scoring, suffix, urls, warc, wordscores
+from tessera.llm import bpe, common, graph, licences, media, mixing, near, quality, registry, suffix, urls, warc, wordscores
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,7 +47,7 @@ def test_empty_tables(spark, no_docs, some_labels, odd_pages):
     pages = odd_pages.limit(0)
     for df in (
         mixing.mixture(no_docs), mixing.remixed(no_docs), warc.round_trip(pages), suffix.removals(no_docs), suffix.cleaned(no_docs), urls.judge(pages, urls.rule_table(spark)),
-        licences.scan(no_docs), near.classes(no_docs), near.one_of_each(no_docs), bpe.round_trip(no_docs), media.stored_features(no_docs), scoring.difference(no_docs, some_labels),
+        licences.scan(no_docs), near.classes(no_docs), near.one_of_each(no_docs), bpe.round_trip(no_docs), media.stored_features(no_docs), wordscores.difference(no_docs, some_labels),
         quality.verdicts(no_docs, some_labels), quality.passing(no_docs, some_labels),
     ):
         assert df.collect() == []
@@ -495,44 +495,10 @@ def test_scores_separate(spark):
     junk = ["zq xv jj qz vx zzq xxv jqj vzx qqx zjv"] * 30
     df = spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string")
     ids = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
-    got = {r["doc_id"]: r["score"] for r in scoring.score(df, scoring.fit(df, ids)).collect()}
+    got = {r["doc_id"]: r["score"] for r in wordscores.score(df, ids).collect()}
     assert max(got[i] for i in range(20, 30)) < min(got[i] for i in range(30, 60))  # held out
 
 
-def test_scores_against_brute_force(docs, rows, some_labels):
-    ids = {r["doc_id"] for r in scoring.good_ids(some_labels).collect()}
-    count = {False: Counter(), True: Counter()}
-    grams = []
-    for d, t, *_ in rows:
-        c = [scoring.START, scoring.START, *(int(scoring.CLASSES[b]) for b in (t or "").encode())]
-        grams.append([tuple(c[i : i + 3]) for i in range(len(c) - 2)])
-        count[False].update(grams[-1])
-        if d in ids:
-            count[True].update(grams[-1])
-
-    def losses(c, scale):
-        t = {g: n * scale for g, n in c.items()}
-        bi, uni, hi, hb = Counter(), Counter(), Counter(), Counter()
-        for (a, b, x), n in t.items():
-            bi[b, x] += n
-            uni[x] += n
-            hi[a, b] += n
-            hb[b] += n
-        total, mu = sum(uni.values()), scoring.MU
-
-        def loss(g):
-            p1 = (uni[g[2]] + 1) / (total + scoring.V)
-            p2 = (bi[g[1:]] + mu * p1) / (hb[g[1]] + mu)
-            return -np.log((t.get(g, 0) + mu * p2) / (hi[g[:2]] + mu))
-
-        return loss
-
-    target, back = losses(count[True], 1), losses(count[False], sum(count[True].values()) / sum(count[False].values()))
-    want = sorted(((d, len(g), None if not g else round(float(np.mean([target(x) - back(x) for x in g])), 6)) for (d, *_), g in zip(rows, grams)), key=repr)
-    got = scoring.difference(docs, some_labels).collect()
-    assert sorted(((r["doc_id"], r["n_tokens"], None if r["score"] is None else round(r["score"], 6)) for r in got), key=repr) == want
-
-
 def words_of(t):
     return re.findall(r"[\U00003000-\U0000DFFF\U00010000-\U0010FFFF]|[0-9A-Za-z\x80-\u2FFF\uE000-\uFFFF]+|[^\x20\x09-\x0D]", t or "")
 
@@ -540,7 +506,7 @@ def words_of(t):
 @pytest.mark.parametrize("chunk", [1, wordscores.CHUNK])
 def test_word_scores_against_brute_force(docs, rows, some_labels, chunk, monkeypatch):
     monkeypatch.setattr(wordscores, "CHUNK", chunk)
-    ids = {r["doc_id"] for r in scoring.good_ids(some_labels).collect()}
+    ids = {r["doc_id"] for r in wordscores.good_ids(some_labels).collect()}
     count = {False: Counter(), True: Counter()}
     grams = []
     for d, t, *_ in rows:
@@ -555,7 +521,7 @@ def test_word_scores_against_brute_force(docs, rows, some_labels, chunk, monkeyp
         for (a, b), n in c.items():
             one[b] += n * scale
             context[a] += n * scale
-        total, mu = sum(one.values()), scoring.MU
+        total, mu = sum(one.values()), wordscores.MU
         return lambda g: -np.log((c[g] * scale + mu * (one[g[1]] + 1) / (total + v)) / (context[g[0]] + mu))
 
     target, back = losses(count[True], 1), losses(count[False], sum(count[True].values()) / sum(count[False].values()))
