@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import scoring
+from tessera.functions import pairscores, scoring
 from tessera.functions.arrays import first, joined_or, shared_items
 
-#: So many users at most are sent to all tasks at once; more go in calls of their own.
+#: So many users at most are in a call or a block.
 MOST_USERS = 1000
+#: So many profiles at most meet a block of users at once.
+CHUNK = 1024
+#: So many blocks of users at most are broadcast.
+MOST_SENT = 64
 
 
 def matched_pairs(matches: DataFrame, who: Column) -> DataFrame:
@@ -42,22 +51,70 @@ def candidates(profiles: DataFrame, matches: DataFrame, users: list[int], noise:
     return _scored(profiles, matches, F.col("userId").isin(users), noise, scenes)
 
 
-def candidates_in_blocks(profiles: DataFrame, matches: DataFrame, who: Column, noise: Column | None = None, scenes=scoring.SCENES) -> DataFrame:
-    """The same for all users that ``who``, a condition on userId, names, however many.
+def _packed(df: DataFrame, most: int) -> DataFrame:
+    """The rows of a table, up to ``most`` in each row of bytes."""
+
+    def pack(t: pa.Table) -> pa.RecordBatch:
+        to = pa.BufferOutputStream()
+        with pa.ipc.new_stream(to, t.schema) as w:
+            w.write_table(t.combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([to.getvalue().to_pybytes()], pa.binary())], ["packed"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            while n >= most:
+                t = pa.Table.from_batches(held)
+                yield pack(t.slice(0, most))
+                held, n = t.slice(most).to_batches(), n - most
+        if n:
+            yield pack(pa.Table.from_batches(held))
+
+    return df.mapInArrow(run, "packed binary")
+
 
-    They are dealt by a hash into blocks whose largest has at most MOST_USERS rows, which
-    is counted, and each block is broadcast and scans the profiles once.
+def _unpacked(x: bytes) -> pa.Table:
+    return pa.ipc.open_stream(x).read_all()
+
+
+def candidates_in_blocks(profiles: DataFrame, matches: DataFrame, who: Column, noise: Callable | None = None, scenes=scoring.SCENES) -> DataFrame:
+    """user, other, scene and score, as in ``candidates``, for all users that ``who``, a condition on userId, names, however many.
+
+    Users are packed into blocks and all profiles into chunks, each with the pairs already
+    matched, which meet their profile in a merge join. Every block meets every chunk in one
+    join of these packed rows, and a pair of them is scored as matrices
+    (``functions.pairscores``). So the plan has one size for any number of users, profiles
+    are shuffled once, and candidates aren't shuffled at all. ``noise`` gives for user ids, profile
+    ids and a scene whole numbers, a row per profile and a column per user.
     """
-    asked = profiles.filter(who)
-    block = lambda n: F.pmod(F.xxhash64("userId"), F.lit(n))
-    n = max(1, -(-asked.count() // (MOST_USERS // 2)))
-    while n > 1 and asked.groupBy(block(n)).count().agg(F.max("count")).first()[0] > MOST_USERS:
-        n *= 2
-    parts = [_scored(profiles, matches, who & (block(n) == i), noise, scenes) for i in range(n)]
-    out = parts[0]
-    for df in parts[1:]:
-        out = out.unionByName(df)
-    return out
+    scenes = list(scenes)
+    cols = ["userId", "interests", "availability", "socialGoal", "vals", "communicationStyle", "relationshipPace", "preferredScenes"]
+    rows = profiles.filter(F.col("userId").isNotNull()).select(*cols)
+    n, n_users = rows.agg(F.count(F.lit(1)), F.count_if(who)).first()
+    n_blocks, n_chunks = max(1, -(-n_users // MOST_USERS)), max(1, -(-n // CHUNK))
+    blocks = _packed(rows.filter(who).repartition(n_blocks), MOST_USERS)
+    pairs = matched_pairs(matches, who).groupBy(F.col("other").alias("_other")).agg(F.collect_set(F.struct("user", "scene")).alias("excluded"))
+    chunks = _packed(rows.join(pairs.hint("merge"), rows["userId"] == pairs["_other"], "left").drop("_other"), CHUNK)
+    # A task has a few chunks: enough tasks for all cores, and no larger tasks where the table grows.
+    chunks = chunks.repartition(min(n_chunks, max(4 * profiles.sparkSession.sparkContext.defaultParallelism, n_chunks // 4)))
+    # Beyond MOST_SENT blocks each task reads them from one shuffle instead.
+    blocks = F.broadcast(blocks) if n_blocks <= MOST_SENT else blocks.repartition(1).hint("shuffle_replicate_nl")
+    both = chunks.withColumnRenamed("packed", "chunk").crossJoin(blocks.withColumnRenamed("packed", "block"))
+
+    def run(batches):
+        block = lru_cache(4)(lambda x: pairscores.Block(_unpacked(x), scenes))
+        for batch in batches:
+            for chunk, users in zip(batch["chunk"], batch["block"]):
+                t, users = _unpacked(chunk.as_py()), block(users.as_py())
+                for i, r, c, score in pairscores.found(users, t, noise, scenes):
+                    others = t["userId"].combine_chunks()
+                    yield pa.RecordBatch.from_arrays([users.ids.take(pa.array(c)), others.take(pa.array(r)), pa.array(np.full(len(r), i, np.int32)), pa.array(score.astype(np.int64))], ["user", "other", "scene", "score"])
+
+    kind = rows.schema["userId"].dataType.simpleString()
+    out = both.mapInArrow(run, f"user {kind}, other {kind}, scene int, score long")
+    return out.withColumn("scene", F.get(F.array(*map(F.lit, scenes)), F.col("scene")))
 
 
 #: Names of scenes in sentences.

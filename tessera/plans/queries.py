@@ -5,6 +5,7 @@ Arrays are joined to strings in results, and ``rn`` stands where order matters.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -124,6 +125,16 @@ def noise() -> Column:
     return (F.col("a.userId") * 31 + F.col("b.userId") * 17 + F.length("scene") * 7) % 5
 
 
+def noise_of(a: np.ndarray, b: np.ndarray, scene: str) -> np.ndarray:
+    """The same for arrays of ids, a row for each of b and a column for each of a."""
+    if max(np.abs(x.astype(float)).max(initial=0) for x in (a, b)) > 2**57:
+        raise OverflowError("an id is too large for the noise")
+    a, b = a.astype(np.int64) * 31 + len(scene) * 7, b.astype(np.int64) * 17
+    if a.min(initial=0) < 0 or b.min(initial=0) < 0:  # remainders have the sign of the whole sum
+        return np.fmod(b[:, None] + a, 5).astype(np.int16)
+    return ((np.arange(5)[:, None] + a % 5) % 5).astype(np.int16)[b % 5]
+
+
 def _candidates(t: Tables) -> DataFrame:
     return M.candidates(t.profiles, t.matches, USERS, noise())
 
@@ -794,4 +805,4 @@ def vibe_overwrite(t: Tables) -> DataFrame:
 @query(f"""SELECT "user", other, scene, score FROM ({_CANDIDATES.replace(f"a.userId IN {tuple(USERS)}", "a.userId % 100 = 0")})""")
 def match_candidates_hundredth(t: Tables) -> DataFrame:
     """Every user whose id is divisible by 100 against all profiles, in blocks of users."""
-    return M.candidates_in_blocks(t.profiles, t.matches, F.col("userId") % 100 == 0, noise()).select("user", "other", "scene", "score")
+    return M.candidates_in_blocks(t.profiles, t.matches, F.col("userId") % 100 == 0, noise_of).select("user", "other", "scene", "score")

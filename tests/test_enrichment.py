@@ -77,3 +77,32 @@ def test_candidates_in_blocks(spark, sf, monkeypatch):
     monkeypatch.setattr(M, "MOST_USERS", 4)
     got = M.candidates_in_blocks(t.profiles, t.matches, who).select("user", "other", "scene", "score")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+@pytest.mark.parametrize("sent", [64, 1])
+def test_blocks_of_odd_profiles(spark, monkeypatch, sent):
+    from tessera.operators import matching as M
+
+    full = (["x", "y", "x"], ["t"], ["g", "h"], ["v", "w"], "warm", "slow", ["food", "study"])
+    odd = [(None, *full[1:]), ([None, "x"], *full[1:]), ([], *full[1:]), (*full[:4], None, "medium", None), (*full[:4], "odd", None, [None, "food"]), (*full[:1], None, None, None, "playful", "fast", []), (["y"] * 40, *full[1:])]
+    rows = [(i * 3 - 9, *r) for i, r in enumerate([full, *odd, full, full])] + [(-9, *full), (0, *odd[1]), (None, *full)]
+    profiles = spark.createDataFrame(rows, "userId long, interests array<string>, availability array<string>, socialGoal array<string>, vals array<string>, communicationStyle string, relationshipPace string, preferredScenes array<string>")
+    matches = spark.createDataFrame([(-9, 0, "food"), (15, -9, "study"), (-9, 18, None), (-9, None, "food"), (0, 0, "food"), (-9, 0, "food")], "userIdA long, userIdB long, scene string")
+    who = F.col("userId") % 2 == -1
+    users = [-9, -3]
+    want = M.candidates(profiles, matches, users, q.noise()).select("user", "other", "scene", "score").collect()
+    monkeypatch.setattr(M, "MOST_SENT", sent)
+    monkeypatch.setattr(M, "MOST_USERS", 2)
+    monkeypatch.setattr(M, "CHUNK", 3)
+    got = M.candidates_in_blocks(profiles, matches, who, q.noise_of).select("user", "other", "scene", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) != []
+
+
+def test_plan_of_blocks_has_one_size(spark, sf, monkeypatch):
+    from tessera.operators import matching as M
+    from tessera.sources.derived import Tables
+
+    t = Tables(spark, sf)
+    monkeypatch.setattr(M, "MOST_USERS", 4)
+    df = M.candidates_in_blocks(t.profiles, t.matches, F.col("userId") % 10 == 0)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 4  # grew with the number of blocks
