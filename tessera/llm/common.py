@@ -53,16 +53,27 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def shelve(df: DataFrame) -> DataFrame:
+#: Whether the files of a query's shuffles go when it ends; else they wait for the driver to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shelve(df: DataFrame, shuffles_go: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     This cuts the lineage without tying the data to an executor, keeps columns
     prunable and gives the planner a true size. Whole texts stand there, so it is packed tightly. The files go when the driver ends,
-    or earlier by ``unshelve``.
+    or earlier by ``unshelve``. With ``shuffles_go``, what was shuffled for it goes as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shelf_root(spark)}/shelf-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    try:
+        if shuffles_go:
+            spark.conf.set(SHUFFLES_GO, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if shuffles_go:
+            spark.conf.set(SHUFFLES_GO, before)
     files, at = _file_system(spark, path)
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shelve, small_batches
+from tessera.llm.common import shelve, small_batches, unshelve
 from tessera.llm.rawtext import ALNUM, BASE, NOT_SPACE, U64, mix64, span_hashes, text_bytes
 
 MU = 64.0
@@ -174,15 +174,19 @@ def _sum_block(t: pa.Table) -> pa.Table:
     return pa.table([t["chunk"], t["block"], t["n"], *cols], ["chunk", "block", "n", "every", "target", "v", "n_every", "n_target"])
 
 
-def sums(stored: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """For each chunk and block the counts of its keys in all documents and in the target, and the block's vocabulary and words."""
+def flagged(stored: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """The chunks, with the places of their target documents."""
     ids = target_ids.select(F.col("doc_id").alias("_id"))
     places = stored.select("chunk", F.posexplode("ids").alias("i", "doc_id"))
     # Always merge joins: what they join grows with the documents, so a broadcast would only serve small inputs.
     flags = places.join(ids.hint("merge"), places["doc_id"] == ids["_id"]).groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list("i").alias("flags"))
-    df = stored.join(flags.hint("merge"), stored["chunk"] == flags["_chunk"], "left").drop("_chunk", "ids")
+    return stored.join(flags.hint("merge"), stored["chunk"] == flags["_chunk"], "left").drop("_chunk")
+
+
+def sums(stored: DataFrame) -> DataFrame:
+    """For each chunk (with flags) and block the counts of its keys in all documents and in the target, and the block's vocabulary and words."""
     words = stored.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    sent = df.mapInArrow(_block_batches(max(BLOCKS, words // BLOCK_WORDS)), "chunk string, block long, n long, keys binary, every binary, target binary")
+    sent = stored.drop("ids").mapInArrow(_block_batches(max(BLOCKS, words // BLOCK_WORDS)), "chunk string, block long, n long, keys binary, every binary, target binary")
     return sent.groupBy("block").applyInArrow(_sum_block, "chunk string, block long, n long, every binary, target binary, v long, n_every long, n_target long")
 
 
@@ -231,9 +235,12 @@ def difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """The same for any target. ``target_ids`` has doc_id, each once."""
-    stored = shelve(chunks(docs))
-    summed = shelve(sums(stored, target_ids))
+    plain = shelve(chunks(docs))
+    # The flagged chunks are written too, and each step's shuffles go with it: so chunks aren't shuffled while the sent counts, which are larger, stand on disk.
+    stored = shelve(flagged(plain, target_ids), shuffles_go=True)
+    unshelve(plain)
+    summed = shelve(sums(stored), shuffles_go=True)
     v, n_every, n_target = (x or 0 for x in summed.select("block", "v", "n_every", "n_target").distinct().agg(F.sum("v"), F.sum("n_every"), F.sum("n_target")).first())
     back = summed.select("chunk", "block", "n", "every", "target")
-    both = stored.groupBy("chunk").cogroup(back.groupBy("chunk"))
+    both = stored.drop("flags").groupBy("chunk").cogroup(back.groupBy("chunk"))
     return both.applyInArrow(_score_chunk(v, n_every, n_target), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -543,6 +543,17 @@ def test_word_scores_of_no_rows(no_docs, some_labels):
     assert wordscores.difference(no_docs, some_labels).isEmpty()
 
 
+def test_word_scores_leave_no_shuffled_chunks(spark, sf, some_labels):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {(x := files.apply(i)).getName(): x.length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    df = wordscores.difference(spark.read.parquet(f"{sf}/documents.parquet"), some_labels)
+    assert sum(n for name, n in shuffled().items() if name not in before) < 50_000  # the totals alone
+    assert spark.conf.get(common.SHUFFLES_GO) == "false" and df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 # 10
 
 
