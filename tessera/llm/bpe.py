@@ -3,14 +3,16 @@
 Texts are cut by the tokenizers' pattern (letters, numbers, other signs, each with
 a space before; contractions; white space), here from a table of character
 classes over whole Arrow batches. Each partition then encodes its distinct
-pieces: token-position rows join the merge table, each piece's leftmost pair of
-minimum rank is contracted, until no pair is left. Decoding joins the ids with
+pieces: a row is a piece with its tokens and the ranks of their pairs in order of
+position, each piece's leftmost pair of minimum rank is contracted, and the two
+pairs that this makes join the merge table, until no pair is left. Long strings
+have a row per token, and all their pairs join. Decoding joins the ids with
 the vocabulary and aggregates their bytes in order of position.
 
 A merge table row is a pair of tokens whose bytes together are a token, so the
 rows follow from the ranks alone, and the result is what contraction by ranks
 gives in any library. A recursion holds all its steps, which is quadratic in a
-piece, so a query takes pieces whose steps are at most ``STATE_ROWS`` rows, and goes on
+piece, so a query takes pieces whose steps are at most ``STATE_ROWS`` tokens, and goes on
 from its last step where one piece alone has more.
 
 Pieces of over ``STRETCH`` characters are contracted by the same queries in stretches
@@ -46,12 +48,14 @@ from tessera.llm.common import small_batches
 from tessera.llm.rawtext import U64, span_hashes, text_bytes
 
 KNOWN_PIECES = 1_000_000
-#: Rows of all steps of one recursive query.
+#: Tokens in all steps of one recursive query.
 STATE_ROWS = 800_000
 #: Characters of a stretch (a power of two, so that runs of one sign are cut where their tokens end), and tokens on each side of a seam.
 STRETCH, SEAM = 16, 4
 #: From so many bytes on, a step contracts all places of a rank.
 MANY = 64
+#: Stands for no token and no rank.
+NONE = 2**31 - 1
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Endings that the pattern keeps with an apostrophe before them.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -147,16 +151,24 @@ class Codec:
                     merged.append(rank)
         # Tokens that a token ranked before them may swallow: their places can't go all at once.
         alone = {t for pair in zip(left, right, merged) for t in pair[:2] if t > pair[2]}
+        as_pair = np.array(left, np.int64) << 32 | np.array(right, np.int64)
+        order = np.argsort(as_pair)
+        self.pairs, self.pair_ranks = as_pair[order], np.array(merged, np.int32)[order]
         merged = [2 * m + (m in alone) for m in merged]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         self.db.execute("SET temp_directory = ''")
-        as_pair = np.array(left, np.int64) << 32 | np.array(right, np.int64)
         merges = pa.table({"pair": as_pair, "rank": pa.array(merged, pa.int32())})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         # Bytes as characters of the same number, so that they can be aggregated in order.
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
 
+    @functools.cached_property
+    def decimals(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each id's digits and a comma in a row of bytes, zeros after them, and how many they are."""
+        names = np.array([b"%d," % i for i in range(max(self.names) + 1)])
+        return names.view(np.uint8).reshape(len(names), -1), np.char.str_len(names).astype(np.uint8)
+
     def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece. A piece that is a token as a whole is that token, as in the tokenizers' library."""
         found = [self.ranks.get(p) for p in pieces]
@@ -165,17 +177,22 @@ class Codec:
 
     def _contract(self, pieces: list[bytes]) -> list[np.ndarray]:
         """What contraction gives for each piece."""
-        cuts = [_stretches(p) if len(p) > STRETCH else [p] for p in pieces]
-        flat = self._recurse([x for c in cuts for x in c])
-        out, at = [], 0
-        for c in cuts:
-            out.append(flat[at : at + len(c)])
-            at += len(c)
+        out: list = [None] * len(pieces)
+        long = [i for i, p in enumerate(pieces) if len(p) > STRETCH]
+        cuts = [_stretches(pieces[i]) for i in long]
+        short = [i for i, p in enumerate(pieces) if len(p) <= STRETCH]
+        flat = self._recurse([*(pieces[i] for i in short), *(x for c in cuts for x in c)])
+        for i, ids in zip(short, flat):
+            out[i] = ids
+        rest = iter(flat[len(short) :])
+        parts = [[next(rest) for _ in c] for c in cuts]
         # Neighbouring stretches are joined two by two, those of all pieces together.
-        while any(len(x) > 1 for x in out):
-            joined = iter(self._join([(x[i], x[i + 1]) for x in out for i in range(0, len(x) - 1, 2)]))
-            out = [[*(next(joined) for _ in range(len(x) // 2)), *(x[-1:] if len(x) % 2 else [])] for x in out]
-        return [x[0] for x in out]
+        while any(len(x) > 1 for x in parts):
+            joined = iter(self._join([(x[i], x[i + 1]) for x in parts for i in range(0, len(x) - 1, 2)]))
+            parts = [[*(next(joined) for _ in range(len(x) // 2)), *(x[-1:] if len(x) % 2 else [])] for x in parts]
+        for i, x in zip(long, parts):
+            out[i] = x[0]
+        return out
 
     def _join(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """The contraction of the bytes of two contracted strings, for each pair of such."""
@@ -212,20 +229,40 @@ class Codec:
         """As many steps in a query as its state allows, until there are no more."""
         n = np.array([len(p) for p in strings])
         ids = self.byte_ids[np.frombuffer(b"".join(strings), np.uint8)]
-        sql = ENCODE_ALL if int(n.max()) > MANY else ENCODE
+        run = self._steps_all if int(n.max()) > MANY else self._steps
         while True:
             longest, steps = int(n.max()), max(2, 2 * STATE_ROWS // len(ids))
-            cut, new = self._steps(n, ids, sql, steps)
+            cut, new = run(n, ids, steps)
             if longest <= steps or len(new) == len(ids):
-                return [new[x:y] for x, y in zip(cut[:-1], cut[1:])]
+                return [new[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
             n, ids = np.diff(cut), new
 
-    def _steps(self, n: np.ndarray, ids: np.ndarray, sql: str, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    def _steps(self, n: np.ndarray, ids: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the tokens of each string begin (one more at the end), and the tokens, after so many steps at most."""
+        ends = np.cumsum(n)
+        pair = ids.astype(np.int64) << 32
+        pair[:-1] |= ids[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        rank = np.where(self.pairs[at] == pair, self.pair_ranks[at], NONE)
+        rank[ends - 1] = NONE
+        # Each list has a place more in front, so that each token has a left neighbour.
+        off = np.append(0, ends + np.arange(1, len(n) + 1))
+        place = np.arange(len(ids)) + np.repeat(np.arange(1, len(n) + 1), n)
+        lists = []
+        for values in (ids, rank):
+            flat = np.full(off[-1], NONE, np.int32)
+            flat[place] = values
+            lists.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat))
+        rows = pa.table({"piece": np.arange(len(n), dtype=np.int32), "tokens": lists[0], "ranks": lists[1]})  # noqa: F841
+        got = self.db.sql(ENCODE, params=[steps]).to_arrow_table().column("tokens").combine_chunks()
+        return np.append(0, np.cumsum(got.value_lengths().to_numpy())), got.flatten().to_numpy()
+
+    def _steps_all(self, n: np.ndarray, ids: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for long strings, with a row per token."""
         rows = pa.table(  # noqa: F841
             {"piece": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "token": np.asarray(ids, np.int32)}
         )
-        got = self.db.execute(sql, [steps]).fetchnumpy()
+        got = self.db.execute(ENCODE_ALL, [steps]).fetchnumpy()
         return np.searchsorted(np.asarray(got["piece"]), np.arange(len(n) + 1)), np.asarray(got["token"])
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
@@ -243,26 +280,28 @@ class Codec:
         return out
 
 
-#: A step contracts each piece's leftmost pair of least rank.
-ENCODE = """
-WITH RECURSIVE state(step, piece, pos, token) AS (
-  SELECT 0, piece, pos, token FROM rows
+#: A step contracts each piece's leftmost pair of least rank. A row is a piece with its tokens and the ranks of the pairs
+#: that begin with them, so that a step looks up only the two pairs with the new token, whose id is its rank.
+ENCODE = f"""
+WITH RECURSIVE state(step, piece, tokens, ranks, best) AS (
+  SELECT 0, piece, tokens, ranks, list_min(ranks) FROM rows
   UNION ALL
-  SELECT step + 1, piece, pos, CASE WHEN this = best THEN CAST(best >> 33 AS INTEGER) ELSE token END
+  SELECT step + 1, piece, tokens, ranks, list_min(ranks)
   FROM (
-    SELECT *, lag(this) OVER (PARTITION BY piece ORDER BY pos) AS before, min(this) OVER (PARTITION BY piece) AS best
+    SELECT step, piece, tokens[:i - 1] || [best] || tokens[i + 2:] AS tokens,
+      ranks[:i - 2] || [coalesce(before.rank >> 1, {NONE}), coalesce(after.rank >> 1, {NONE})] || ranks[i + 2:] AS ranks
     FROM (
-      SELECT pairs.step, pairs.piece, pairs.pos, pairs.token, (CAST(merges.rank AS BIGINT) << 32) + pairs.pos AS this
-      FROM (SELECT *, (CAST(token AS BIGINT) << 32) + lead(token) OVER (PARTITION BY piece ORDER BY pos) AS pair FROM state WHERE step < $1) AS pairs
-      LEFT JOIN merges ON merges.pair = pairs.pair
+      SELECT *, (CAST(tokens[i - 1] AS BIGINT) << 32) + best AS left_pair, (CAST(best AS BIGINT) << 32) + tokens[i + 2] AS right_pair
+      FROM (SELECT *, list_position(ranks, best) AS i FROM state WHERE best < {NONE} AND step < $1)
     )
+    LEFT JOIN merges AS before ON before.pair = left_pair
+    LEFT JOIN merges AS after ON after.pair = right_pair
   )
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM best
 )
-SELECT piece, token FROM (SELECT *, max(step) OVER (PARTITION BY piece) AS last FROM state) WHERE step = last ORDER BY piece, pos
+SELECT piece, tokens[2:] AS tokens FROM state WHERE best = {NONE} OR step = $1 ORDER BY piece
 """
 
-#: The same, but all places of the least rank at once: of a run of overlapping ones the first, third and so on. That is
+#: Rows of tokens, and all places of the least rank at once: of a run of overlapping ones the first, third and so on. That is
 #: what one after the other gives unless a pair with the new token ranks before it (an odd ``rank``): then only the first.
 ENCODE_ALL = """
 WITH RECURSIVE state(step, piece, pos, token) AS (
@@ -370,15 +409,17 @@ def encode_column(col, path: str):
     """Per text: its ids (flat, with offsets) and the decimal ids joined by commas."""
     e = encoder(path)
     number, cut = e.pieces(col)
-    used, back = np.unique(number, return_inverse=True)
-    begin, n = e.ends[used], np.diff(e.ends)[used]
-    each = n[back]
+    begin = e.ends[number]
+    each = e.ends[number + 1] - begin
     total = np.concatenate([[0], np.cumsum(each)])
-    ids = e.ids[np.repeat(begin[back] - total[:-1], each) + np.arange(int(total[-1]))]
-    names = [",".join(map(str, e.ids[i : i + k].tolist())).encode() for i, k in zip(begin.tolist(), n.tolist())]
-    order = back.tolist()
-    joined = [b",".join([names[k] for k in order[i:j]]) for i, j in zip(cut[:-1], cut[1:])]
-    return ids, total[cut], joined
+    ids = e.ids[np.repeat(begin - total[:-1], each) + np.arange(int(total[-1]))]
+    off = total[cut]
+    names, size = e.codec.decimals
+    at = np.concatenate([[0], np.cumsum(size[ids], dtype=np.int64)])[off].tolist()
+    data = names[ids]
+    data = data[data > 0].tobytes()
+    joined = [data[i : max(i, j - 1)] for i, j in zip(at[:-1], at[1:])]
+    return ids, off, joined
 
 
 def default_path() -> str:

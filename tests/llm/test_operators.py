@@ -423,6 +423,38 @@ def test_states_that_go_on_in_another_query(tokenizer, monkeypatch):
     assert codec._query([text.encode()])[0].tolist() == tokenizer.encode_ordinary(text)
 
 
+def test_a_step_sorts_no_tokens():
+    import pyarrow as pa
+
+    rows = pa.table({"piece": pa.array([0], pa.int32()), "pos": pa.array([0], pa.int32()), "token": pa.array([65], pa.int32()), "tokens": [[65]], "ranks": [[1]]})  # noqa: F841
+    plan = bpe.encoder(bpe.default_path()).codec.db.execute("EXPLAIN " + bpe.ENCODE, [9]).fetchall()[0][1].upper()
+    assert "CTE" in plan and "HASH JOIN" in plan.replace("_", " ")
+    assert "WINDOW" not in plan
+
+
+def test_short_strings_go_on_from_their_tokens(tokenizer, monkeypatch):
+    rng = np.random.default_rng(8)
+    strings = ["".join(map(chr, rng.integers(a, a + 26, n))) for a in (97, 0xE01, 0x65E5) for n in range(1, 17)] * 2 + ["a" * n for n in range(1, 65)]
+    want = [tokenizer.encode_ordinary(x) for x in strings]
+    codec = bpe.encoder(bpe.default_path()).codec
+    steps, calls = codec._steps, []
+    monkeypatch.setattr(codec, "_steps", lambda n, ids, most: calls.append(most) or steps(n, ids, most))
+    for rows in (bpe.STATE_ROWS, 50):
+        monkeypatch.setattr(bpe, "STATE_ROWS", rows)
+        assert [x.tolist() for x in codec._query([x.encode() for x in strings])] == want
+    assert calls.count(2) > 5
+
+
+def test_ids_in_decimal(tokenizer):
+    import pyarrow as pa
+
+    texts = ["", None, "one two", "\n", "!", "0123456789 ABCDEFGHIJ", "\u65e5\u672c\u8a9e", ""]
+    want = [tokenizer.encode_ordinary(t or "") for t in texts]
+    ids, off, joined = bpe.encode_column(pa.array(texts), bpe.default_path())
+    assert [ids[i:j].tolist() for i, j in zip(off[:-1], off[1:])] == want
+    assert joined == [",".join(map(str, x)).encode() for x in want]
+
+
 def test_bpe_ids_decode(odd_docs):
     tokens = bpe.encode(odd_docs)
     got = Counter((r["doc_id"], bytes(r["data"])) for r in bpe.decode(tokens).collect())
